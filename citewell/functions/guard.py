@@ -52,7 +52,7 @@ def redact(df: DataFrame, column: str = "text", allow: tuple[str, ...] = (), cou
         df = df.withColumn(column, F.when(F.col(f"_n_{kind}") > 0, rebuilt).otherwise(F.col(column)))
     entries = F.array(*[F.struct(F.lit(k).alias("key"), F.col(f"_n_{k}").cast("long").alias("value")) for k, _ in steps])
     found = F.map_from_entries(F.filter(entries, lambda e: e["value"] > 0))
-    return df.withColumn(counts, found).drop(*[f"_n_{k}" for k, _ in steps])
+    return text.computed(df, **{column: F.col(column), counts: found}).drop(*[f"_n_{k}" for k, _ in steps])
 
 
 def redaction_types(counts: Column) -> Column:
@@ -91,8 +91,7 @@ def decoded_payloads(c: Column) -> Column:
 def injection_flags(df: DataFrame, column: str = "text", out: str = "injection", normalized: bool = False) -> DataFrame:
     """Adds ``out``: struct<score double, flags array<string>> for the text, its collapsed form and its decoded
     payloads. Distinct flags combine as 1 - prod(1 - weight)."""
-    plain = F.col(column) if normalized else text.normalize(F.col(column))
-    df = df.withColumn("_plain", plain)
+    df = df.withColumn("_plain", F.col(column)) if normalized else text.with_normalized(df, column, "_plain")
     df = df.withColumn("_collapsed", collapsed(F.col("_plain"))).withColumn(
         "_payloads",
         F.when(F.col("_plain").rlike(P.BASE64_PATTERN), decoded_payloads(F.col("_plain"))).otherwise(
@@ -119,7 +118,7 @@ def injection_flags(df: DataFrame, column: str = "text", out: str = "injection",
     for name, weight in weights:
         remaining = remaining * F.when(F.col(f"_f_{name}"), F.lit(1 - weight)).otherwise(F.lit(1.0))
     flags = F.array_compact(F.array(*[F.when(F.col(f"_f_{n}"), n) for n in sorted(n for n, _ in weights)]))
-    df = df.withColumn(out, F.struct(F.round(1 - remaining, 3).alias("score"), flags.alias("flags")))
+    df = text.computed(df, **{out: F.struct(F.round(1 - remaining, 3).alias("score"), flags.alias("flags"))})
     return df.drop("_plain", "_collapsed", "_payloads", *[f"_f_{n}" for n, _ in weights])
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +47,20 @@ def normalize(c: Column) -> Column:
     return zero_width_removed(F.coalesce(_nfkc(F.when(unstable, c)), c))
 
 
+def computed(df: DataFrame, **values: Column) -> DataFrame:
+    """``withColumns`` whose values are computed exactly once.
+
+    The one-row generator is a barrier for Catalyst, which else inlines a value into everything above it: into each
+    filter that is pushed down, and into whole projections when a Python function is on both sides."""
+    rest = [c for c in df.columns if c not in values]
+    row = F.struct(*[value.alias(name) for name, value in values.items()])
+    return df.select(*rest, F.inline(F.array(row)))
+
+
+def with_normalized(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
+    return computed(df, **{out or column: normalize(F.col(column))})
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"(?U)^{WS}+|{WS}+$", "")
 
