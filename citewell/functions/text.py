@@ -25,6 +25,8 @@ NFKC_STABLE = (
     r"Ł-ňŊ-žΑ-ΡΣ-ώЀ-҂Ҋ-ԯ‐‒-‖"
     r"‘-‣€、-〩ぁ-ゖァ-ヺ一-鿿가-힣"
 )
+# a cheap test that settles most non-ASCII text before the full class is tried
+LATIN_ONLY = r"^[\x00-\x7f\xc0-\xff]*+$"
 
 
 @F.pandas_udf(T.StringType())
@@ -43,8 +45,9 @@ def zero_width_removed(c: Column) -> Column:
 
 def normalize(c: Column) -> Column:
     """NFKC, then zero-width characters removed."""
-    unstable = c.rlike(f"[^{NFKC_STABLE}]")
-    return zero_width_removed(F.coalesce(_nfkc(F.when(unstable, c)), c))
+    ascii_only = F.octet_length(c) == F.length(c)
+    stable = ascii_only | c.rlike(LATIN_ONLY) | c.rlike(f"^[{NFKC_STABLE}]*+$")
+    return F.coalesce(zero_width_removed(_nfkc(F.when(~stable, c))), c)
 
 
 def computed(df: DataFrame, **values: Column) -> DataFrame:

@@ -148,6 +148,7 @@ def _dense_by_shuffle(vectors: DataFrame, queries: DataFrame, k: int, vector_blo
         .withColumn("qb", F.pmod(F.xxhash64("qid", "subquery_no"), F.col("qblocks")).cast("int"))
         .withColumn("vb", F.explode(F.sequence(F.lit(0), F.col("vblocks") - 1)))
         .select("tenant_id", "vb", "qb", "qid", "subquery_no", "embedding")
+        .toDF("q_tenant", "q_vb", "q_qb", "qid", "subquery_no", "embedding")  # both sides may come from one table
     )
 
     def meet(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -157,8 +158,8 @@ def _dense_by_shuffle(vectors: DataFrame, queries: DataFrame, k: int, vector_blo
         qmatrix = np.stack(right["embedding"].to_numpy()).astype(np.float64)
         return _best_of_block(left["chunk_id"].to_numpy(), matrix, right, qmatrix, key[0], k)
 
-    keys = ["tenant_id", "vb", "qb"]
-    return vec.groupBy(*keys).cogroup(qry.groupBy(*keys)).applyInPandas(meet, _DENSE_SCHEMA)
+    left = vec.groupBy("tenant_id", "vb", "qb")
+    return left.cogroup(qry.groupBy("q_tenant", "q_vb", "q_qb")).applyInPandas(meet, _DENSE_SCHEMA)
 
 
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int = P.DEFAULTS.candidates, max_closure: int = 4096,

@@ -86,6 +86,17 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, rows) else df
 
 
+SPREAD_BYTES = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Small inputs often sit in one row group, which is one task. They are dealt out to all cores; a large input has
+    enough row groups and stays where it is."""
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def salt_of(salts: int, *by: str | Column) -> Column:
     return F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")
 

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from citewell import params as P
 from citewell.functions import text
-from citewell.session import ship_package
+from citewell.session import ship_package, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages", "conversations") else rows
 
 
 def corpus(spark: SparkSession, sf_dir: str, tenant: str = "source") -> DataFrame:

@@ -1 +1,268 @@
-QUERIES = {}
+"""Index tables and hybrid retrieval over the documents, pages and embeddings tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from citewell import params as P
+from citewell import session
+from citewell.functions import text
+from citewell.operators import index, search
+from queries.common import USER_TURNS, corpus, sql_index_terms, sql_overlap, sql_terms, table, user_turns
+
+S = P.DEFAULTS
+DIM = 64
+
+
+# ---- index -------------------------------------------------------------------------------------
+
+
+def term_freq(spark, d):
+    post = index.postings(index.with_terms(corpus(spark, d)))
+    return post.select("tenant_id", "chunk_id", "term", F.col("tf").cast("long").alias("tf"), F.col("dl").cast("long").alias("dl"), F.round("weight", 6).alias("weight"))
+
+
+_WEIGHT = f"tf * {S.bm25_k1 + 1} / (tf + {S.bm25_k1} * (1 - {S.bm25_b} + {S.bm25_b} * dl / {S.bm25_avgdl}))"
+
+
+def _postings_sql(tenant: str) -> str:
+    return f"""docs AS (SELECT {tenant} AS tenant_id, doc_id::VARCHAR AS chunk_id, {sql_index_terms('text')} AS terms FROM documents),
+tok AS (SELECT tenant_id, chunk_id, greatest(len(terms), 1)::BIGINT AS dl, unnest(terms) AS term FROM docs),
+post AS (SELECT tenant_id, chunk_id, term, dl, count(*)::BIGINT AS tf FROM tok GROUP BY ALL),
+postings AS (SELECT *, round({_WEIGHT}, 6) AS weight FROM post),
+sizes AS (SELECT tenant_id, count(*)::BIGINT AS n FROM docs GROUP BY ALL),
+frequency AS (SELECT tenant_id, term, count(*)::BIGINT AS df FROM postings GROUP BY ALL)"""
+
+
+TERM_FREQ = f"WITH {_postings_sql('source')} SELECT tenant_id, chunk_id, term, tf, dl, weight FROM postings"
+
+
+def doc_freq(spark, d):
+    """Document frequency and inverse frequency of every term of every tenant."""
+    chunks = index.with_terms(corpus(spark, d))
+    df = index.document_frequency(index.postings(chunks))
+    sizes = index.corpus_size(corpus(spark, d))
+    return df.join(sizes, "tenant_id").select("tenant_id", "term", "df", "n", F.round(index.inverse_frequency(F.col("n"), F.col("df")), 6).alias("idf"))
+
+
+_IDF = "ln(1 + (n - df + 0.5) / (df + 0.5))"
+DOC_FREQ = f"WITH {_postings_sql('source')} SELECT tenant_id, term, df, n, round({_IDF}, 6) AS idf FROM frequency JOIN sizes USING (tenant_id)"
+
+
+def hash_embed(spark, d):
+    """Hashed-feature embeddings of the user turns, in long form: one row per slot in use."""
+    from citewell.functions import identity
+
+    rows = index.with_terms(user_turns(spark, d), "question")
+    rows = rows.select("qid", F.posexplode(identity.hash_embedding(F.col("content"), DIM)).alias("slot", "value"))
+    return rows.filter("value <> 0").select("qid", F.col("slot").cast("long").alias("slot"), F.round("value", 6).alias("value"))
+
+
+def embeddings_sql(name: str, source: str, key: str, column: str, dim: int) -> str:
+    """CTEs ending in ``name``(key, slot, value): unit vectors of hashed features."""
+    return f"""{name}_t AS (SELECT {key}, {sql_terms(column)} AS terms FROM {source}),
+{name}_i AS (SELECT {key}, terms, unnest(generate_series(1, len(terms))) AS i FROM {name}_t),
+{name}_f AS (SELECT {key}, terms[i] AS f, 1.0::DOUBLE AS w FROM {name}_i
+ UNION ALL SELECT {key}, terms[i] || '_' || terms[i + 1], 0.7::DOUBLE FROM {name}_i WHERE i < len(terms)
+ UNION ALL SELECT {key}, '#' || substring(t, j, 4), 0.25::DOUBLE FROM (SELECT {key}, terms[i] AS t FROM {name}_i) s, unnest(generate_series(1, length(t) - 3)) AS g(j) WHERE length(t) > 5),
+{name}_h AS (SELECT {key}, ('0x' || substring(md5(f), 1, 15))::BIGINT % {dim} AS slot,
+ CASE WHEN ('0x' || substring(md5(f), 16, 1))::BIGINT % 2 = 1 THEN w ELSE -w END AS w FROM {name}_f),
+{name}_v AS (SELECT {key}, slot, sum(w) AS v FROM {name}_h GROUP BY ALL),
+{name} AS (SELECT {key}, slot, v / nullif(sqrt(sum(v * v) OVER (PARTITION BY {key})), 0) AS value FROM {name}_v)"""
+
+
+HASH_EMBED = f"WITH {embeddings_sql('e', USER_TURNS, 'qid', 'question', DIM)} SELECT qid, slot, round(value, 6) AS value FROM e WHERE round(value, 12) <> 0"
+
+
+# ---- sparse ------------------------------------------------------------------------------------
+
+
+def _benchmark_queries(spark, d):
+    items = text.with_normalized(table(spark, d, "benchmark"), "text")
+    items = items.select(F.lit("all").alias("tenant_id"), F.col("item_id").cast("string").alias("qid"), F.lit(0).alias("subquery_no"), "text")
+    return index.with_terms(items).select("tenant_id", "qid", "subquery_no", "terms")
+
+
+def _sparse(spark, d, queries, tenant, k):
+    docs = index.with_terms(corpus(spark, d, tenant))
+    qterms = session.written(search.query_terms(queries), "qterms")
+    post = search.matching_postings(docs, qterms)
+    sizes = index.corpus_size(corpus(spark, d, tenant))
+    weights = session.written(search.term_weights(qterms, index.document_frequency(post), sizes), "weights")
+    return search.top_k(search.sparse_scores(post, weights), search.LIST, k, channel="sparse")
+
+
+def bm25_topk(spark, d):
+    top = _sparse(spark, d, _benchmark_queries(spark, d), "all", S.top_k)
+    return top.select("qid", "chunk_id", F.col("rank").cast("long").alias("rank"), "score")
+
+
+_SPARSE_SQL = f"""qt AS (SELECT DISTINCT tenant_id, qid, unnest(terms) AS term FROM q),
+scored AS (SELECT tenant_id, qid, chunk_id, round(sum(weight * {_IDF}), 6) AS score FROM qt JOIN postings USING (tenant_id, term)
+ JOIN frequency USING (tenant_id, term) JOIN sizes USING (tenant_id) GROUP BY ALL HAVING round(sum(weight * {_IDF}), 6) > 0),
+sparse AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, qid ORDER BY score DESC, chunk_id) - 1 AS rank FROM scored)"""
+
+BM25 = f"""WITH {_postings_sql("'all'")}, q AS (SELECT 'all' AS tenant_id, item_id::VARCHAR AS qid, {sql_index_terms('text')} AS terms FROM benchmark),
+{_SPARSE_SQL} SELECT qid, chunk_id, rank, score FROM sparse WHERE rank < {S.top_k}"""
+
+
+def bm25_quality(spark, d):
+    """Hit rate and mean reciprocal rank of the benchmark passages that some document quotes in full."""
+    top = session.written(_sparse(spark, d, _benchmark_queries(spark, d), "all", S.candidates), "top")
+    docs = corpus(spark, d, "all")
+    items = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("qid"), "text")
+    # a quoted passage shares its first twelve tokens with the document: an equi join instead of all pairs
+    grams = docs.select("chunk_id", "text", F.explode(F.array_distinct(_token_grams(F.col("text")))).alias("gram"))
+    lead = items.select("qid", F.col("text").alias("passage"), F.element_at(_token_grams(F.col("text")), 1).alias("gram"))
+    truth = grams.join(session.small_side(lead), "gram").filter(F.contains("text", F.col("passage"))).select("qid", "chunk_id").distinct()
+    ranks = truth.join(top.select("qid", "chunk_id", "rank"), ["qid", "chunk_id"], "left").groupBy("qid").agg(F.min("rank").alias("rank"))
+    return ranks.agg(F.count(F.lit(1)).alias("items"), F.round(F.avg(F.col("rank").isNotNull().cast("double")), 6).alias("hit_rate"),
+                     F.round(F.avg(F.coalesce(1 / (F.col("rank") + 1), F.lit(0.0))), 6).alias("mrr"))
+
+
+def _token_grams(c, n=12):
+    toks = text.tokens(c)
+    return text.let(toks, lambda t: F.when(F.size(t) >= n, F.transform(
+        F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(t, i, F.lit(n)), " ")))).otherwise(
+        F.array(F.xxhash64(F.array_join(t, " ")))))
+
+
+QUALITY = f"""WITH {_postings_sql("'all'")}, q AS (SELECT 'all' AS tenant_id, item_id::VARCHAR AS qid, {sql_index_terms('text')} AS terms FROM benchmark),
+{_SPARSE_SQL}, truth AS (SELECT b.item_id::VARCHAR AS qid, d.doc_id::VARCHAR AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+r AS (SELECT qid, min(rank) AS rank FROM truth LEFT JOIN (SELECT * FROM sparse WHERE rank < {S.candidates}) s USING (qid, chunk_id) GROUP BY qid)
+SELECT count(*)::BIGINT AS items, round(avg((rank IS NOT NULL)::INT), 6) AS hit_rate, round(avg(coalesce(1.0::DOUBLE / (rank + 1), 0)), 6) AS mrr FROM r"""
+
+
+def _turn_queries(spark, d):
+    turns = index.with_terms(user_turns(spark, d), "question")
+    return turns.withColumn("subquery_no", F.lit(0))
+
+
+def bm25_by_tenant(spark, d):
+    """Top-12 documents per user turn, within the tenant of the conversation."""
+    top = _sparse(spark, d, _turn_queries(spark, d).select(*search.LIST, "terms"), "source", S.candidates)
+    return top.select("tenant_id", "qid", "chunk_id", F.col("rank").cast("long").alias("rank"), "score")
+
+
+_TURN_Q = f"q AS (SELECT tenant_id, qid, {sql_index_terms('question')} AS terms FROM {USER_TURNS} u)"
+BM25_TENANT = f"""WITH {_postings_sql('source')}, {_TURN_Q}, {_SPARSE_SQL}
+SELECT tenant_id, qid, chunk_id, rank, score FROM sparse WHERE rank < {S.candidates}"""
+
+
+# ---- dense -------------------------------------------------------------------------------------
+
+
+def dense_topk(spark, d):
+    """Ten nearest vectors of every 50th vector; the tenant is the parity of the id."""
+    tenant = F.concat(F.lit("t"), (F.col("vec_id") % 2).cast("string"))
+    vec = table(spark, d, "embeddings").select(tenant.alias("tenant_id"), F.col("vec_id").cast("string").alias("chunk_id"), "vec_id", "embedding")
+    q = vec.filter("vec_id % 50 < 2").select("tenant_id", F.col("chunk_id").alias("qid"), F.lit(0).alias("subquery_no"), "embedding")
+    top = search.dense_search(q, vec, 10)
+    return top.select("qid", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+DENSE = """WITH v AS (SELECT 't' || (vec_id % 2) AS tenant_id, vec_id, vec_id::VARCHAR AS chunk_id, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT q.chunk_id AS qid, v.chunk_id, round(list_inner_product(q.e, v.e), 9) AS score FROM v JOIN v q USING (tenant_id) WHERE q.vec_id % 50 < 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) - 1 AS rank FROM s)
+SELECT qid, chunk_id, rank, round(score, 6) AS score FROM r WHERE rank < 10"""
+
+
+def dense_label_purity(spark, d):
+    """Every vector as a query: share of its nearest ten that carry its label. Uses the shuffled block search."""
+    vec = table(spark, d, "embeddings").select(F.lit("t").alias("tenant_id"), F.col("vec_id").cast("string").alias("chunk_id"), "embedding", "label")
+    q = vec.select("tenant_id", F.col("chunk_id").alias("qid"), F.lit(0).alias("subquery_no"), "embedding")
+    top = search.dense_search(q, vec, 10, max_closure=64, vector_block=256).select("qid", "chunk_id")
+    mine = vec.select(F.col("chunk_id").alias("qid"), F.col("label").alias("ql"))
+    theirs = vec.select("chunk_id", F.col("label").alias("vl"))
+    pairs = top.join(mine, "qid").join(theirs, "chunk_id")
+    return pairs.groupBy(F.col("ql").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("ql") == F.col("vl")).cast("double")), 6).alias("purity"))
+
+
+PURITY = """WITH v AS (SELECT vec_id::VARCHAR AS chunk_id, embedding::DOUBLE[] AS e, label FROM embeddings),
+s AS (SELECT q.chunk_id AS qid, q.label AS ql, v.label AS vl, row_number() OVER (PARTITION BY q.chunk_id
+ ORDER BY round(list_inner_product(q.e, v.e), 9) DESC, v.chunk_id) AS rn FROM v CROSS JOIN v q)
+SELECT ql AS label, count(*)::BIGINT AS n, round(avg((ql = vl)::INT), 6) AS purity FROM s WHERE rn <= 10 GROUP BY ql"""
+
+
+# ---- hybrid ------------------------------------------------------------------------------------
+
+
+def _tables(spark, d):
+    docs = index.with_terms(corpus(spark, d)).select("tenant_id", "chunk_id", "doc_id", "content", "terms", "dl")
+    terms = session.written(docs, "terms")
+    post = session.written(index.postings(terms), "postings")
+    return {"chunks": terms, "postings": post, "frequency": index.document_frequency(post), "sizes": index.corpus_size(terms),
+            "vectors": session.written(index.vectors(terms, DIM), "vectors")}
+
+
+def _hybrid_queries(spark, d):
+    from citewell.functions import identity
+
+    rows = _turn_queries(spark, d).select(*search.LIST, "terms", "content")
+    return session.written(rows.withColumn("embedding", identity.hash_embedding(F.col("content"), DIM)), "queries")
+
+
+def _ranked(spark, d):
+    t = _tables(spark, d)
+    q = _hybrid_queries(spark, d)
+    columns = [*search.LIST, "channel", "chunk_id", "rank"]
+    sparse = search.sparse_search(q, t["postings"], t["frequency"], t["sizes"]).select(columns)
+    return q, t, sparse.unionByName(search.dense_search(q, t["vectors"]).select(columns))
+
+
+def rrf_fuse(spark, d):
+    """Sparse and dense top-12 of every user turn, fused by reciprocal rank."""
+    _, _, ranked = _ranked(spark, d)
+    return search.fuse(ranked).select("tenant_id", "qid", "chunk_id", F.round("rrf", 9).alias("rrf"))
+
+
+def _hybrid_sql() -> str:
+    return f"""WITH {_postings_sql('source')}, {_TURN_Q}, {_SPARSE_SQL},
+{embeddings_sql('de', '(SELECT doc_id, source, text FROM documents)', 'doc_id', 'text', DIM)},
+{embeddings_sql('qe', USER_TURNS, 'qid', 'question', DIM)},
+pairs AS (SELECT u.tenant_id, u.qid, d.doc_id FROM {USER_TURNS} u JOIN documents d ON d.source = u.tenant_id),
+dots AS (SELECT qe.qid, de.doc_id, sum(qe.value * de.value) AS s FROM qe JOIN {USER_TURNS} u USING (qid) JOIN documents d ON d.source = u.tenant_id
+ JOIN de ON de.doc_id = d.doc_id AND de.slot = qe.slot GROUP BY ALL),
+dscore AS (SELECT tenant_id, qid, doc_id::VARCHAR AS chunk_id, round(coalesce(s, 0), 9) AS score FROM pairs LEFT JOIN dots USING (qid, doc_id)),
+dense AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, qid ORDER BY score DESC, chunk_id) - 1 AS rank FROM dscore),
+ranked AS (SELECT tenant_id, qid, chunk_id, rank FROM sparse WHERE rank < {S.candidates} UNION ALL SELECT tenant_id, qid, chunk_id, rank FROM dense WHERE rank < {S.candidates}),
+fused AS (SELECT tenant_id, qid, chunk_id, round(sum(1.0::DOUBLE / ({S.rrf_k} + rank + 1)), 12) AS rrf FROM ranked GROUP BY ALL)"""
+
+
+RRF = f"{_hybrid_sql()} SELECT tenant_id, qid, chunk_id, round(rrf, 9) AS rrf FROM fused"
+
+
+def hybrid_retrieve(spark, d):
+    """Fusion, rerank by term coverage, at most two chunks per document group, and the question's own top_k."""
+    q, t, ranked = _ranked(spark, d)
+    group = F.concat(F.lit("g"), (F.col("chunk_id").cast("long") % 7).cast("string"))
+    chunks = t["chunks"].withColumn("doc_id", group).select("tenant_id", "chunk_id", "doc_id", "content")
+    questions = q.select("tenant_id", "qid", F.when(F.length("qid") % 2 == 0, F.lit(7)).alias("top_k"), F.array("content").alias("term_sets"))
+    fused = search.fuse(ranked)
+    candidates = fused.join(chunks, ["tenant_id", "chunk_id"]).join(questions, ["tenant_id", "qid"]).drop("top_k")
+    best = search.diversify(search.lexical_reranker(candidates), questions)
+    return best.select("tenant_id", "qid", F.col("position").cast("long").alias("position"), "chunk_id", "doc_id", F.round("score", 4).alias("score"))
+
+
+HYBRID = f"""{_hybrid_sql()}, dt AS (SELECT doc_id::VARCHAR AS chunk_id, {sql_terms('text')} AS t FROM documents),
+qt2 AS (SELECT qid, {sql_terms('question')} AS qq FROM {USER_TURNS} u),
+cand AS (SELECT f.*, 'g' || (chunk_id::BIGINT % 7) AS doc_id, round(0.6 * (rrf / max(rrf) OVER (PARTITION BY tenant_id, qid)) + 0.4 * {sql_overlap('qq', 't')}, 4) AS score
+ FROM fused f JOIN dt USING (chunk_id) JOIN qt2 USING (qid)),
+per AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, qid, doc_id ORDER BY score DESC, rrf DESC, chunk_id) AS d FROM cand),
+fin AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, qid ORDER BY score DESC, rrf DESC, chunk_id) AS position FROM per WHERE d <= 2)
+SELECT tenant_id, qid, position, chunk_id, doc_id, score FROM fin WHERE position <= CASE WHEN length(qid) % 2 = 0 THEN 7 ELSE 5 END"""
+
+
+QUERIES = {
+    "bm25_topk": (bm25_topk, BM25),
+    "bm25_quality": (bm25_quality, QUALITY),
+    "bm25_by_tenant": (bm25_by_tenant, BM25_TENANT),
+    "term_freq": (term_freq, TERM_FREQ),
+    "doc_freq": (doc_freq, DOC_FREQ),
+    "hash_embed": (hash_embed, HASH_EMBED),
+    "dense_topk": (dense_topk, DENSE),
+    "dense_label_purity": (dense_label_purity, PURITY),
+    "rrf_fuse": (rrf_fuse, RRF),
+    "hybrid_retrieve": (hybrid_retrieve, HYBRID),
+}
