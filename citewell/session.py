@@ -101,18 +101,28 @@ def salt_of(salts: int, *by: str | Column) -> Column:
     return F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")
 
 
-def replicated(df: DataFrame, salts: int, column: str = "salt") -> DataFrame:
-    """Each row once per salt, for the side that meets a salted one."""
-    return df.withColumn(column, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+def hot_keys(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """Keys with more than ``rows`` rows: at most one for every ``rows`` rows of ``df``."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > rows).select(*keys)
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], by: list[str], how: str = "inner",
-                salts: int = 16, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                salts: int = 16, broadcast_rows: int = BROADCAST_ROWS, hot_rows: int = 1_000_000) -> DataFrame:
     """Join where one key may hold a large share of ``big``.
 
-    A small side of checked size is broadcast, so ``big`` does not move at all. Beyond that size both sides are
-    shuffled on (keys, salt): the rows of a hot key spread over ``salts`` tasks and ``small`` is repeated."""
+    A side of checked size is broadcast, so the other one does not move at all. If both are large they are shuffled,
+    and the keys of ``big`` above ``hot_rows`` rows are salted: their rows spread over ``salts`` tasks by the columns
+    ``by``, and only the matching rows of ``small`` are repeated."""
     if is_small(small, broadcast_rows):
         return big.join(F.broadcast(small), keys, how)
-    spread = big.withColumn("salt", salt_of(salts, *by))
-    return spread.join(replicated(small, salts), [*keys, "salt"], how).drop("salt")
+    if how == "inner" and is_small(big, broadcast_rows):
+        return F.broadcast(big).join(small, keys)
+    hot = written(hot_keys(big, keys, hot_rows), "hot")
+    if hot.isEmpty():
+        return big.join(small, keys, how)
+    marked = small_side(hot.withColumn("_hot", F.lit(True)))
+    salt = F.when(F.col("_hot"), salt_of(salts, *by)).otherwise(F.lit(0))
+    spread_out = big.join(marked, keys, "left").withColumn("_salt", salt).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    repeated = small.join(marked, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return spread_out.join(repeated, [*keys, "_salt"], how).drop("_salt")
