@@ -52,7 +52,8 @@ def rate_limit(requests: DataFrame, order_id: str, limit: int = P.DEFAULTS.rate_
 # ---- answer cache ------------------------------------------------------------------------------
 
 
-def cache_outcomes(requests: DataFrame, order_id: str, ttl_s: int = P.DEFAULTS.cache_ttl_s) -> DataFrame:
+def cache_outcomes(requests: DataFrame, order_id: str, ttl_s: int = P.DEFAULTS.cache_ttl_s,
+                   max_fold: int = 100_000) -> DataFrame:
     """Adds ``hit``. A request hits if the last stored answer of its key is at most ``ttl_s`` old; a miss stores its
     answer if cacheable; hits do not extend.
 
@@ -62,7 +63,7 @@ def cache_outcomes(requests: DataFrame, order_id: str, ttl_s: int = P.DEFAULTS.c
     ttl = ttl_s * 1_000_000
     slot = F.floor(F.col("t") / ttl).cast("long")
     rows = session.written(rows.withColumn("slot", slot), "cache_requests")
-    stores = stored_answers(rows, order_id, ttl)
+    stores = stored_answers(rows, order_id, ttl, max_fold)
     # a store serves its own slot and the next one; each slot has at most one store
     served = stores.select("cache_key", F.col("t").alias("s_t"), F.col(order_id).alias("s_id"),
                            F.explode(F.array(F.col("slot"), F.col("slot") + 1)).alias("slot"))
