@@ -48,8 +48,7 @@ def redact(df: DataFrame, column: str = "text", allow: tuple[str, ...] = (), cou
         else:
             rebuilt = F.regexp_replace(F.col(column), F.lit(java), F.lit(label))
             found = F.regexp_count(F.col(column), F.lit(java))
-        df = df.withColumn(f"_n_{kind}", found)
-        df = df.withColumn(column, F.when(F.col(f"_n_{kind}") > 0, rebuilt).otherwise(F.col(column)))
+        df = df.withColumns({f"_n_{kind}": found, column: F.when(found > 0, rebuilt).otherwise(F.col(column))})
     entries = F.array(*[F.struct(F.lit(k).alias("key"), F.col(f"_n_{k}").cast("long").alias("value")) for k, _ in steps])
     found = F.map_from_entries(F.filter(entries, lambda e: e["value"] > 0))
     return text.computed(df, **{column: F.col(column), counts: found}).drop(*[f"_n_{k}" for k, _ in steps])
@@ -92,11 +91,9 @@ def injection_flags(df: DataFrame, column: str = "text", out: str = "injection",
     """Adds ``out``: struct<score double, flags array<string>> for the text, its collapsed form and its decoded
     payloads. Distinct flags combine as 1 - prod(1 - weight)."""
     df = df.withColumn("_plain", F.col(column)) if normalized else text.with_normalized(df, column, "_plain")
-    df = df.withColumn("_collapsed", collapsed(F.col("_plain"))).withColumn(
-        "_payloads",
-        F.when(F.col("_plain").rlike(P.BASE64_PATTERN), decoded_payloads(F.col("_plain"))).otherwise(
-            F.array().cast("array<string>")),
-    )
+    blobs = F.when(F.col("_plain").rlike(P.BASE64_PATTERN), decoded_payloads(F.col("_plain")))
+    df = df.withColumns({"_collapsed": collapsed(F.col("_plain")),
+                         "_payloads": F.coalesce(blobs, F.array().cast("array<string>"))})
     differs = F.col("_collapsed") != F.col("_plain")
 
     def fires(pattern: str) -> Column:
@@ -107,8 +104,7 @@ def injection_flags(df: DataFrame, column: str = "text", out: str = "injection",
             | ((F.size("_payloads") > 0) & F.exists("_payloads", lambda p: p.rlike(java)))
         )
 
-    for name, _, pattern in P.INJECTION_RULES:
-        df = df.withColumn(f"_f_{name}", fires(pattern))
+    df = df.withColumns({f"_f_{name}": fires(pattern) for name, _, pattern in P.INJECTION_RULES})
     any_rule = F.lit(False)
     for name, _, _ in P.INJECTION_RULES:
         any_rule = any_rule | F.col(f"_f_{name}")
@@ -134,33 +130,27 @@ def check_input(questions: DataFrame, s: P.Settings = P.DEFAULTS) -> DataFrame:
     pii_types, injection_score. First match wins: too long, secret, injection, harmful."""
     df = redact(questions.withColumn("safe_question", F.col("question")), "safe_question", counts="_pii")
     df = injection_flags(df, "question", "_inj")
-    df = df.withColumn("_types", redaction_types(F.col("_pii"))).withColumn("_harmful", is_harmful(F.col("question")))
     too_long = F.length("question") > s.max_question_chars
-    secret = has_secret(F.col("_types"))
     injected = F.col("_inj.score") >= s.injection_threshold
     rule_flags = F.transform(F.col("_inj.flags"), lambda f: F.concat(F.lit("injection:"), f))
     none = F.array().cast("array<string>")
-    df = df.withColumn(
-        "block_reason",
-        F.when(too_long, "input_too_long").when(secret, "secret_in_input").when(injected, "prompt_injection")
-        .when(F.col("_harmful"), "harmful_content"),
-    )
+    types = redaction_types(F.col("_pii"))
+    df = df.withColumns({
+        "_types": types,
+        "block_reason": F.when(too_long, "input_too_long").when(has_secret(types), "secret_in_input")
+        .when(injected, "prompt_injection").when(is_harmful(F.col("question")), "harmful_content"),
+    })
     reason = F.col("block_reason")
-    return (
-        df.withColumn("blocked", reason.isNotNull())
-        .withColumn("refusal", F.when(reason == "input_too_long", P.TOO_LONG_REPLY)
-                    .when(reason == "secret_in_input", P.REFUSAL_SENSITIVE)
-                    .when(reason == "prompt_injection", P.REFUSAL_INJECTION)
-                    .when(reason == "harmful_content", P.REFUSAL_HARMFUL))
-        .withColumn("input_flags", F.when(reason == "input_too_long", F.array(F.lit("input_too_long")))
-                    .when(reason == "secret_in_input", F.array(F.lit("secret_detected")))
-                    .when(reason == "harmful_content", F.concat(rule_flags, F.array(F.lit("harmful"))))
-                    .otherwise(rule_flags))
-        .withColumn("pii_types", F.when(reason == "input_too_long", none).otherwise(F.col("_types")))
-        .withColumn("injection_score", F.when(reason.isin("input_too_long", "secret_in_input"), 0.0)
-                    .otherwise(F.col("_inj.score")))
-        .drop("_pii", "_inj", "_types", "_harmful")
-    )
+    return df.withColumns({
+        "blocked": reason.isNotNull(),
+        "refusal": F.when(reason == "input_too_long", P.TOO_LONG_REPLY).when(reason == "secret_in_input", P.REFUSAL_SENSITIVE)
+        .when(reason == "prompt_injection", P.REFUSAL_INJECTION).when(reason == "harmful_content", P.REFUSAL_HARMFUL),
+        "input_flags": F.when(reason == "input_too_long", F.array(F.lit("input_too_long")))
+        .when(reason == "secret_in_input", F.array(F.lit("secret_detected")))
+        .when(reason == "harmful_content", F.concat(rule_flags, F.array(F.lit("harmful")))).otherwise(rule_flags),
+        "pii_types": F.when(reason == "input_too_long", none).otherwise(F.col("_types")),
+        "injection_score": F.when(reason.isin("input_too_long", "secret_in_input"), 0.0).otherwise(F.col("_inj.score")),
+    }).drop("_pii", "_inj", "_types")
 
 
 def cited_refs(c: Column) -> Column:
@@ -186,21 +176,18 @@ def check_output(answers: DataFrame, s: P.Settings = P.DEFAULTS) -> DataFrame:
     df = answers.withColumn("leaked", (F.col("canary") != "") & F.contains(F.col("answer"), F.col("canary")))
     df = redact(df.withColumn("_text", F.col("answer")), "_text", counts="_pii")
     available = F.when(F.col("n_refs") > 0, F.sequence(F.lit(1), F.col("n_refs").cast("int"))).otherwise(no_refs)
-    df = df.withColumn("_cited", cited_refs(F.col("_text"))).withColumn("_available", available)
-    df = df.withColumn("_invalid", F.array_except("_cited", "_available"))
-    df = df.withColumn("_text", F.when(F.size("_invalid") > 0, drop_refs(F.col("_text"), F.col("_invalid")))
-                       .otherwise(F.col("_text")))
+    df = df.withColumns({"_cited": cited_refs(F.col("_text")), "_available": available})
+    invalid = F.array_except("_cited", "_available")
+    df = df.withColumns({"_invalid": invalid, "_text": F.when(F.size(invalid) > 0, drop_refs(F.col("_text"), invalid)).otherwise(F.col("_text"))})
     df = injection_flags(df, "_text", "_inj")
     flags = F.array_compact(F.array(
         F.when(F.size("_pii") > 0, "pii_redacted"),
         F.when(F.size("_invalid") > 0, "invalid_citations_removed"),
         F.when(F.col("_inj.score") >= s.output_injection_threshold, "suspicious_output"),
     ))
-    return (
-        df.withColumn("answer", F.when(F.col("leaked"), P.REFUSAL_INJECTION).otherwise(text.strip(F.col("_text"))))
-        .withColumn("output_flags", F.when(F.col("leaked"), F.array(F.lit("system_prompt_leak"))).otherwise(flags))
-        .withColumn("output_pii", F.when(F.col("leaked"), none).otherwise(redaction_types(F.col("_pii"))))
-        .withColumn("valid_refs", F.when(F.col("leaked"), no_refs).otherwise(
-            F.sort_array(F.array_intersect("_cited", "_available"))))
-        .drop("_text", "_pii", "_cited", "_available", "_invalid", "_inj")
-    )
+    return df.withColumns({
+        "answer": F.when(F.col("leaked"), P.REFUSAL_INJECTION).otherwise(text.strip(F.col("_text"))),
+        "output_flags": F.when(F.col("leaked"), F.array(F.lit("system_prompt_leak"))).otherwise(flags),
+        "output_pii": F.when(F.col("leaked"), none).otherwise(redaction_types(F.col("_pii"))),
+        "valid_refs": F.when(F.col("leaked"), no_refs).otherwise(F.sort_array(F.array_intersect("_cited", "_available"))),
+    }).drop("_text", "_pii", "_cited", "_available", "_invalid", "_inj")

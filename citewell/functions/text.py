@@ -7,9 +7,10 @@ that), so nothing here crosses into Python except NFKC itself, and that only for
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,8 +93,18 @@ def stem(t: Column) -> Column:
     return out.otherwise(t)
 
 
+@lru_cache(maxsize=8)
+def _stopword_literals(application: str) -> list[Column]:
+    return [F.lit(w) for w in P.STOPWORDS]
+
+
+def is_stopword(t: Column) -> Column:
+    """The literals are made once per application: building them anew for every use dominates planning."""
+    return t.isin(*_stopword_literals(SparkSession.active().sparkContext.applicationId))
+
+
 def is_content_token(t: Column) -> Column:
-    return (F.length(t) > 1) & ~t.isin(P.STOPWORDS)
+    return (F.length(t) > 1) & ~is_stopword(t)
 
 
 def terms_of_tokens(toks: Column) -> Column:

@@ -13,13 +13,9 @@ def with_terms(chunks: DataFrame, source: Column | str = "text") -> DataFrame:
     """Adds ``terms`` (index terms in order, repeats kept), ``content`` (content terms only) and ``dl``, the chunk
     length in terms. Built in steps, so that tokens are computed once for both."""
     source = F.col(source) if isinstance(source, str) else source
-    return (
-        chunks.withColumn("_tokens", text.tokens(source))
-        .withColumn("content", text.terms_of_tokens(F.col("_tokens")))
-        .withColumn("terms", F.when(F.size("content") > 0, F.col("content")).otherwise(F.col("_tokens")))
-        .withColumn("dl", F.greatest(F.size("terms"), F.lit(1)))
-        .drop("_tokens")
-    )
+    df = chunks.withColumn("_tokens", text.tokens(source)).withColumn("content", text.terms_of_tokens(F.col("_tokens")))
+    terms = F.when(F.size("content") > 0, F.col("content")).otherwise(F.col("_tokens"))
+    return df.withColumn("terms", terms).withColumn("dl", F.greatest(F.size("terms"), F.lit(1))).drop("_tokens")
 
 
 def bm25_weight(tf: Column, dl: Column, s: P.Settings = P.DEFAULTS) -> Column:

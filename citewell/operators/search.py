@@ -66,7 +66,7 @@ def sparse_scores(post: DataFrame, weights: DataFrame) -> DataFrame:
 
 def sparse_search(queries: DataFrame, post: DataFrame, frequency: DataFrame, sizes: DataFrame,
                   k: int = P.DEFAULTS.candidates) -> DataFrame:
-    weights = term_weights(query_terms(queries), frequency, sizes)
+    weights = session.written(term_weights(query_terms(queries), frequency, sizes), "weights")
     return top_k(sparse_scores(post, weights), LIST, k, channel="sparse")
 
 
