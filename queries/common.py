@@ -13,7 +13,7 @@ from citewell.session import ship_package, spread
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows) if name in ("documents", "pages", "conversations") else rows
+    return spread(rows) if name in ("documents", "pages", "conversations", "lineitem") else rows
 
 
 def corpus(spark: SparkSession, sf_dir: str, tenant: str = "source") -> DataFrame:
