@@ -154,16 +154,16 @@ SELECT tenant_id, qid, chunk_id, rank, score FROM sparse WHERE rank < {S.candida
 
 
 def dense_topk(spark, d):
-    """Ten nearest vectors of every 50th vector; the tenant is the parity of the id."""
+    """Ten nearest vectors of every vector; the tenant is the parity of the id."""
     tenant = F.concat(F.lit("t"), (F.col("vec_id") % 2).cast("string"))
-    vec = table(spark, d, "embeddings").select(tenant.alias("tenant_id"), F.col("vec_id").cast("string").alias("chunk_id"), "vec_id", "embedding")
-    q = vec.filter("vec_id % 50 < 2").select("tenant_id", F.col("chunk_id").alias("qid"), F.lit(0).alias("subquery_no"), "embedding")
+    vec = table(spark, d, "embeddings").select(tenant.alias("tenant_id"), F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
+    q = vec.select("tenant_id", F.col("chunk_id").alias("qid"), F.lit(0).alias("subquery_no"), "embedding")
     top = search.dense_search(q, vec, 10)
     return top.select("qid", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
-DENSE = """WITH v AS (SELECT 't' || (vec_id % 2) AS tenant_id, vec_id, vec_id::VARCHAR AS chunk_id, embedding::DOUBLE[] AS e FROM embeddings),
-s AS (SELECT q.chunk_id AS qid, v.chunk_id, round(list_inner_product(q.e, v.e), 9) AS score FROM v JOIN v q USING (tenant_id) WHERE q.vec_id % 50 < 2),
+DENSE = """WITH v AS (SELECT 't' || (vec_id % 2) AS tenant_id, vec_id::VARCHAR AS chunk_id, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT q.chunk_id AS qid, v.chunk_id, round(list_inner_product(q.e, v.e), 9) AS score FROM v JOIN v q USING (tenant_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) - 1 AS rank FROM s)
 SELECT qid, chunk_id, rank, round(score, 6) AS score FROM r WHERE rank < 10"""
 
