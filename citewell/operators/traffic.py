@@ -26,7 +26,7 @@ def minute_of(ts: Column) -> Column:
 def with_tenant(log: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """log: api_key, ...; keys: key_hash, tenant_id. Stamps tenant and key fingerprint; unknown keys go to rejects."""
     hashed = log.withColumn("key_hash", F.sha2("api_key", 256))
-    known = session.salted_join(hashed, keys, ["key_hash"], ["ts"], "left") if session.is_small(keys) else hashed.join(keys, "key_hash", "left")
+    known = session.salted_join(hashed, keys, ["key_hash"], ["ts"], "left")
     known = known.withColumn("key_id", F.left("key_hash", F.lit(12))).drop("api_key", "key_hash")
     return known.filter("tenant_id is not null"), known.filter("tenant_id is null")
 
@@ -214,7 +214,7 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, indexes: dict[s
     Values are counted, the value range is cut into slices, and only the slices that hold a wanted position are
     ordered. No group is sorted as a whole, however large it is."""
     counted = session.written(df.groupBy(*keys, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c")), "counted")
-    ranges = counted.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))
+    ranges = session.written(counted.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n")), "ranges")
     width = F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300))
     place = F.least(F.floor((F.col("v") - F.col("lo")) / width * slices), F.lit(slices - 1)).cast("int")
     placed = _with_groups(counted, ranges, keys).withColumn("slice", place)
@@ -224,19 +224,20 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, indexes: dict[s
     wanted = F.array(*[F.struct(F.lit(name).alias("stat"), index(F.col("n")).cast("long").alias("at")) for name, index in indexes.items()])
     targets = _with_groups(totals, ranges.select(*keys, F.inline(wanted)), keys)
     targets = targets.filter((F.col("at") >= F.col("before")) & (F.col("at") < F.col("before") + F.col("in_slice")))
-    inside = placed.join(F.broadcast(targets) if session.is_small(ranges) else targets, [*keys, "slice"])
+    inside = placed.join(session.small_side(targets), [*keys, "slice"])
     upto = F.sum("c").over(Window.partitionBy(*keys, "stat").orderBy("v"))
     found = inside.withColumn("upto", upto + F.col("before")).filter((F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("c")))
     return found.groupBy(*keys).pivot("stat", list(indexes)).agg(F.first("v"))
 
 
 def _with_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
-    small = F.broadcast(groups) if session.is_small(groups) else groups
-    return rows.join(small, keys) if keys else rows.crossJoin(F.broadcast(groups))  # without keys: one row
+    return rows.join(session.small_side(groups), keys)
 
 
 def latency_quantiles(requests: DataFrame, keys: list[str], value: str = "latency_ms") -> DataFrame:
     """p50 (mean of the two middle elements) and p95 (the element at floor(0.95 (n-1)))."""
+    if not keys:
+        return latency_quantiles(requests.withColumn("_all", F.lit(0)), ["_all"], value).drop("_all")
     stats = order_statistics(requests, keys, value, {
         "low": lambda n: F.floor((n - 1) / 2), "high": lambda n: F.ceil((n - 1) / 2), "p95": lambda n: F.floor((n - 1) * 0.95)})
     return stats.select(*keys, ((F.col("low") + F.col("high")) / 2).alias("p50"), "p95")

@@ -112,10 +112,12 @@ def bm25_quality(spark, d):
     top = session.written(_sparse(spark, d, _benchmark_queries(spark, d), "all", S.candidates), "top")
     docs = corpus(spark, d, "all")
     items = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("qid"), "text")
-    # a quoted passage shares its first twelve tokens with the document: an equi join instead of all pairs
-    grams = docs.select("chunk_id", "text", F.explode(F.array_distinct(_token_grams(F.col("text")))).alias("gram"))
-    lead = items.select("qid", F.col("text").alias("passage"), F.element_at(_token_grams(F.col("text")), 1).alias("gram"))
-    truth = grams.join(session.small_side(lead), "gram").filter(F.contains("text", F.col("passage"))).select("qid", "chunk_id").distinct()
+    # a quoted passage shares its first twelve tokens with the document: an equi join on ids, the texts come later
+    grams = docs.select("chunk_id", F.explode(F.array_distinct(_token_grams(F.col("text")))).alias("gram"))
+    lead = items.select("qid", F.element_at(_token_grams(F.col("text")), 1).alias("gram"))
+    near = grams.join(session.small_side(lead), "gram").select("qid", "chunk_id").distinct()
+    quoted_in = F.contains("text", F.col("passage"))
+    truth = near.join(docs.select("chunk_id", "text"), "chunk_id").join(items.select("qid", F.col("text").alias("passage")), "qid").filter(quoted_in).select("qid", "chunk_id")
     ranks = truth.join(top.select("qid", "chunk_id", "rank"), ["qid", "chunk_id"], "left").groupBy("qid").agg(F.min("rank").alias("rank"))
     return ranks.agg(F.count(F.lit(1)).alias("items"), F.round(F.avg(F.col("rank").isNotNull().cast("double")), 6).alias("hit_rate"),
                      F.round(F.avg(F.coalesce(1 / (F.col("rank") + 1), F.lit(0.0))), 6).alias("mrr"))
