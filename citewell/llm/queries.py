@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-OPERATORS = ("mixing", "packing")
+OPERATORS = ("mixing", "packing", "fingerprints", "linededup")
 
 
 def registry() -> dict:
