@@ -28,8 +28,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hash_words(data: np.ndarray, starts_at: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte of every word of ``data``; a word never crosses the places in ``starts_at``."""
+def _hash_words(data: np.ndarray, starts_at: np.ndarray, letters: np.ndarray, stems: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of every word of ``data``, and then of its first bytes for each length in ``stems``; a word never crosses
+    the places in ``starts_at``."""
     global _powers
     inside = letters[data]
     first = inside.copy()
@@ -44,10 +45,14 @@ def _hash_words(data: np.ndarray, starts_at: np.ndarray, letters: np.ndarray) ->
     within = np.arange(len(where)) - np.repeat(place, np.diff(np.append(place, len(where))))
     if (top := int(within.max()) + 1) > len(_powers):
         _powers = np.full(2 * top, _BASE, dtype=np.uint64).cumprod()
-    return mix64(np.add.reduceat(FOLDED[data[where]] * _powers[within], place)), begin
+    values = FOLDED[data[where]] * _powers[within]
+    hashes = [mix64(np.add.reduceat(values, place))]
+    for k in stems:
+        hashes.append(mix64(np.add.reduceat(values * (within < k), place) + np.uint64(k)))
+    return (np.stack(hashes, axis=1).ravel(), np.repeat(begin, len(hashes))) if stems else (hashes[0], begin)
 
 
-def word_hashes(texts: list[str], letters: np.ndarray = SPACED) -> Iterator[tuple[int, list[np.ndarray]]]:
+def word_hashes(texts: list[str], letters: np.ndarray = SPACED, stems: tuple[int, ...] = ()) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(number of the first text, word hashes of each text) for consecutive runs of texts of about SLICE bytes. A longer text
     is hashed in slices that end between words."""
     at, held, size = 0, [], 0
@@ -55,33 +60,33 @@ def word_hashes(texts: list[str], letters: np.ndarray = SPACED) -> Iterator[tupl
         raw = (text or "").encode("utf-8", "surrogatepass")
         if len(raw) > SLICE:
             if held:
-                yield at, _together(held, letters)
-            yield i, [_long(raw, letters)]
+                yield at, _together(held, letters, stems)
+            yield i, [_long(raw, letters, stems)]
             at, held, size = i + 1, [], 0
             continue
         held.append(raw)
         size += len(raw)
         if size > SLICE:
-            yield at, _together(held, letters)
+            yield at, _together(held, letters, stems)
             at, held, size = i + 1, [], 0
     if held:
-        yield at, _together(held, letters)
+        yield at, _together(held, letters, stems)
 
 
-def _together(raws: list[bytes], letters: np.ndarray) -> list[np.ndarray]:
+def _together(raws: list[bytes], letters: np.ndarray, stems: tuple[int, ...]) -> list[np.ndarray]:
     data = np.frombuffer(b"".join(raws), dtype=np.uint8)
     ends = np.cumsum([len(r) for r in raws])
-    hashes, begin = _hash_words(data, ends, letters)
+    hashes, begin = _hash_words(data, ends, letters, stems)
     return np.split(hashes, np.searchsorted(begin, ends[:-1]))
 
 
-def _long(raw: bytes, letters: np.ndarray) -> np.ndarray:
+def _long(raw: bytes, letters: np.ndarray, stems: tuple[int, ...]) -> np.ndarray:
     data, out, lo = np.frombuffer(raw, dtype=np.uint8), [], 0
     while lo < len(data):
         hi = min(lo + SLICE, len(data))
         while hi < len(data) and letters[data[hi]]:
             hi += 1
-        out.append(_hash_words(data[lo:hi], np.empty(0, np.int64), letters)[0])
+        out.append(_hash_words(data[lo:hi], np.empty(0, np.int64), letters, stems)[0])
         lo = hi
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
