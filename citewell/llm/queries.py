@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-OPERATORS = ("mixing", "packing", "fingerprints", "linededup", "quality", "toxicity", "neardup")
+OPERATORS = ("mixing", "packing", "fingerprints", "linededup", "quality", "toxicity", "neardup", "vectors")
 
 
 def registry() -> dict:
