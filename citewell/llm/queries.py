@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-OPERATORS = ("mixing", "packing", "fingerprints", "linededup", "quality", "toxicity", "neardup", "vectors")
+OPERATORS = (
+    "mixing", "packing", "fingerprints", "linededup", "quality", "toxicity", "neardup", "vectors", "personal", "webtext",
+)
 
 
 def registry() -> dict:
