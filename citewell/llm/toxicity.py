@@ -19,7 +19,8 @@ from .common import internal
 from .quality import bounded, fold
 from .words import LETTERS, word_hashes
 
-SAMPLE = 24_000
+SAMPLE = 16_000
+_BLOCK = 1 << 20
 FOLDS = 4
 HELD_OUT_FOLD = 2
 THRESHOLD = 0.3
@@ -39,19 +40,35 @@ def terms(texts: list[str]) -> list[np.ndarray]:
 
 
 class Rows:
-    """Sparse 0/1 rows with sums along both directions."""
+    """Sparse 0/1 rows with sums along both directions, worked on in blocks so that no temporary is as long as the data."""
 
-    def __init__(self, lists: list[np.ndarray], width: int) -> None:
-        self.width, self.n = width, len(lists)
-        self.index = np.concatenate([*lists, np.empty(0, np.int32)]).astype(np.int64)
-        self.sizes = np.array([len(x) for x in lists], dtype=np.int64)
-        self.row = np.repeat(np.arange(self.n), self.sizes)
+    def __init__(self, index: np.ndarray, sizes: np.ndarray, width: int) -> None:
+        self.index, self.sizes, self.width = index, sizes, width
+        ends = np.cumsum(sizes)
+        edges = np.searchsorted(ends, np.arange(_BLOCK, (ends[-1] if len(ends) else 0) + _BLOCK, _BLOCK), side="left") + 1
+        edges = np.unique(np.concatenate([[0], np.minimum(edges, len(sizes))]))
+        self.blocks = [(a, b, int(ends[a] - sizes[a]), int(ends[b - 1])) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
+    @classmethod
+    def of(cls, lists: list[np.ndarray], place: np.ndarray, width: int) -> Rows:
+        """Rows of the buckets that have a place."""
+        found = [p[p >= 0] for p in (place[t] for t in lists)]
+        return cls(np.concatenate([*found, np.empty(0, np.int32)]).astype(np.int32), np.array([len(x) for x in found], dtype=np.int64), width)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights=w[self.index], minlength=self.n)
+        out = np.zeros(len(self.sizes))
+        for a, b, lo, hi in self.blocks:
+            sizes = self.sizes[a:b]
+            some = np.flatnonzero(sizes)
+            if len(some):
+                out[a + some] = np.add.reduceat(w[self.index[lo:hi]], (np.cumsum(sizes) - sizes)[some])
+        return out
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.index, weights=g[self.row], minlength=self.width)
+        out = np.zeros(self.width)
+        for a, b, lo, hi in self.blocks:
+            out += np.bincount(self.index[lo:hi], weights=np.repeat(g[a:b], self.sizes[a:b]), minlength=self.width)
+        return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -67,8 +84,7 @@ class Machine:
         self.place[buckets] = np.arange(len(buckets))
 
     def rows(self, texts: list[str]) -> Rows:
-        lists = [p[p >= 0] for p in (self.place[t] for t in terms(texts))]
-        return Rows(lists, len(self.w))
+        return Rows.of(terms(texts), self.place, len(self.w))
 
     def score(self, texts: list[str]) -> np.ndarray:
         return _sigmoid(_odds(self.rows(texts), self.bias, self.w, self.v)[0])
@@ -83,11 +99,13 @@ def _odds(x: Rows, b: float, w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray,
 def fit(lists: list[np.ndarray], y: np.ndarray, penalty: float = 2e-3, ridge: float = 2e-5, factor_ridge: float = 2e-2, screen_steps: int = 80, steps: int = 150,
         least_rows: int = 4, seed: int = 5) -> Machine:
     y = y.astype(np.float64)
-    seen = np.bincount(np.concatenate(lists), minlength=1 << BITS)
+    seen = np.zeros(1 << BITS, dtype=np.int64)
+    for t in lists:
+        seen[t] += 1
     kept = np.flatnonzero(seen >= least_rows)
-    place = np.full(1 << BITS, -1, dtype=np.int64)
+    place = np.full(1 << BITS, -1, dtype=np.int32)
     place[kept] = np.arange(len(kept))
-    x = Rows([p[p >= 0] for p in (place[t] for t in lists)], len(kept))
+    x = Rows.of(lists, place, len(kept))
     # Screening: accelerated proximal gradient on columns scaled to unit variance, so that rare terms can speak.
     share = seen[kept] / len(y)
     scale = 1 / np.sqrt(share * (1 - share) + 1e-4)
@@ -106,9 +124,9 @@ def fit(lists: list[np.ndarray], y: np.ndarray, penalty: float = 2e-3, ridge: fl
     strength = np.abs(w) + 1e-9 * np.abs((x.back(y) - share * y.sum()) * scale)
     best = np.sort(np.argsort(-strength)[:ACTIVE])
     start = w[best] * scale[best]
-    map_to = np.full(len(kept), -1, dtype=np.int64)
-    map_to[best] = np.arange(len(best))
-    z = Rows([p[p >= 0] for p in np.split(map_to[x.index], np.cumsum(x.sizes)[:-1])], len(best))
+    place[:] = -1
+    place[kept[best]] = np.arange(len(best))
+    z = Rows.of(lists, place, len(best))
     r = np.random.RandomState(seed)
     p = [np.array([b - (w * scale * share).sum()]), start, r.randn(len(best), FACTORS) * 0.02]
     m, s = [np.zeros_like(q) for q in p], [np.zeros_like(q) for q in p]
