@@ -26,7 +26,7 @@ def minute_of(ts: Column) -> Column:
 def with_tenant(log: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """log: api_key, ...; keys: key_hash, tenant_id. Stamps tenant and key fingerprint; unknown keys go to rejects."""
     hashed = log.withColumn("key_hash", F.sha2("api_key", 256))
-    known = session.salted_join(hashed, keys, ["key_hash"], ["ts"], "left")
+    known = hashed.join(keys, "key_hash", "left")
     known = known.withColumn("key_id", F.left("key_hash", F.lit(12))).drop("api_key", "key_hash")
     return known.filter("tenant_id is not null"), known.filter("tenant_id is null")
 
@@ -84,7 +84,7 @@ def stored_answers(rows: DataFrame, order_id: str, ttl: int, max_fold: int = 100
     ok = session.written(ok, "cacheable")
     heavy = session.written(ok.groupBy("cache_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_fold).select("cache_key"), "heavy")
     some_heavy = not heavy.isEmpty()
-    light = ok.join(session.small_side(heavy), "cache_key", "left_anti") if some_heavy else ok
+    light = ok.join(heavy, "cache_key", "left_anti") if some_heavy else ok
     start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<struct<t:bigint,{order_id}:bigint>>").alias("stores"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -97,7 +97,7 @@ def stored_answers(rows: DataFrame, order_id: str, ttl: int, max_fold: int = 100
     out = folded.select("cache_key", F.inline("stores")).withColumn("slot", F.floor(F.col("t") / ttl).cast("long"))
     out = out.select("cache_key", "slot", "t", order_id)
     if some_heavy:
-        out = out.unionByName(_chained_stores(ok.join(session.small_side(heavy), "cache_key", "left_semi"), order_id, ttl))
+        out = out.unionByName(_chained_stores(ok.join(heavy, "cache_key", "left_semi"), order_id, ttl))
     return out
 
 
@@ -146,13 +146,12 @@ def sliding(minutes: DataFrame, width: int, *totals: str) -> DataFrame:
 
 
 def sustained(evaluated: DataFrame, minutes: int, condition: str = "breach") -> DataFrame:
-    """Adds ``firing``: the condition holds now and at every evaluation of the last ``minutes`` minutes. The input has one
-    row per minute, so its size depends on the time range, not on traffic."""
-    order = Window.orderBy("minute")
-    changed = (F.lag("minute").over(order) != F.col("minute") - 1) | (F.lag(condition).over(order) != F.col(condition))
-    runs = evaluated.withColumn("_run", F.sum(F.coalesce(changed.cast("int"), F.lit(1))).over(order))
-    since = F.min("minute").over(Window.partitionBy("_run"))
-    return runs.withColumn("firing", F.col(condition) & (F.col("minute") - since >= minutes)).drop("_run")
+    """Adds ``firing``: the condition holds now and at every evaluation of the last ``minutes`` minutes, which takes one evaluation in
+    each of them. Minutes are counted by key, never put in one order."""
+    held = evaluated.filter(condition).select(F.explode(F.sequence(F.col("minute"), F.col("minute") + minutes)).alias("_minute"))
+    held = held.groupBy("_minute").agg(F.count(F.lit(1)).alias("_held"))
+    joined = evaluated.join(held, F.col("minute") == F.col("_minute"), "left")
+    return joined.withColumn("firing", F.col(condition) & (F.coalesce("_held", F.lit(0)) == minutes + 1)).drop("_minute", "_held")
 
 
 def error_rate_alert(requests: DataFrame, is_error: Column, width: int = 5, threshold: float = 0.02, hold: int = 10) -> DataFrame:
@@ -184,7 +183,9 @@ def histogram_quantile(q: float, buckets: tuple[float, ...] = HTTP_BUCKETS) -> C
 
 
 def latency_alert(requests: DataFrame, latency_s: Column, width: int = 5, threshold: float = 8.0, hold: int = 10,
-                  q: float = 0.95) -> DataFrame:
+                  q: float = 0.95, route: str | None = None) -> DataFrame:
+    """Latency rule over all requests, or over those of one ``route``."""
+    requests = requests.filter(F.col("route") == route) if route else requests
     counts = bucket_counts(latency_s)
     windows = sliding(per_minute(requests, **counts), width, *counts)
     windows = windows.withColumn("p95", histogram_quantile(q))
@@ -208,15 +209,16 @@ def histogram(events: DataFrame, value: Column, labels: list[str], buckets: tupl
 
 
 def order_statistics(df: DataFrame, keys: list[str], value: str, indexes: dict[str, Callable[[Column], Column]],
-                     slices: int = 4096) -> DataFrame:
-    """Exact elements at given 0-based positions of each group's sorted values.
+                     slices: int = 256) -> DataFrame:
+    """Exact elements at given 0-based positions of each group's sorted values; nulls do not count.
 
-    Values are counted, the value range is cut into slices, and only the slices that hold a wanted position are
-    ordered. No group is sorted as a whole, however large it is."""
+    Values are counted, the group is cut into slices of about equal numbers of rows, and only the slices that hold a wanted position
+    are ordered. No group is sorted as a whole, however large it is and however its values are spread."""
+    df = df.filter(F.col(value).isNotNull())
     counted = session.written(df.groupBy(*keys, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c")), "counted")
-    ranges = session.written(counted.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n")), "ranges")
-    width = F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300))
-    place = F.least(F.floor((F.col("v") - F.col("lo")) / width * slices), F.lit(slices - 1)).cast("int")
+    ranges = session.written(df.groupBy(*keys).agg(
+        F.percentile_approx(value, [i / slices for i in range(1, slices)], 20 * slices).alias("cuts"), F.count(F.lit(1)).alias("n")), "ranges")
+    place = F.size(F.filter("cuts", lambda c: c < F.col("v")))
     placed = _with_groups(counted, ranges, keys).withColumn("slice", place)
     totals = placed.groupBy(*keys, "slice").agg(F.sum("c").alias("in_slice"))
     before = F.sum("in_slice").over(Window.partitionBy(*keys).orderBy("slice")) - F.col("in_slice")
@@ -224,14 +226,14 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, indexes: dict[s
     wanted = F.array(*[F.struct(F.lit(name).alias("stat"), index(F.col("n")).cast("long").alias("at")) for name, index in indexes.items()])
     targets = _with_groups(totals, ranges.select(*keys, F.inline(wanted)), keys)
     targets = targets.filter((F.col("at") >= F.col("before")) & (F.col("at") < F.col("before") + F.col("in_slice")))
-    inside = placed.join(session.small_side(targets), [*keys, "slice"])
+    inside = placed.join(targets, [*keys, "slice"])
     upto = F.sum("c").over(Window.partitionBy(*keys, "stat").orderBy("v"))
     found = inside.withColumn("upto", upto + F.col("before")).filter((F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("c")))
     return found.groupBy(*keys).pivot("stat", list(indexes)).agg(F.first("v"))
 
 
 def _with_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.join(session.small_side(groups), keys)
+    return rows.join(groups, keys)
 
 
 def latency_quantiles(requests: DataFrame, keys: list[str], value: str = "latency_ms") -> DataFrame:
@@ -243,6 +245,11 @@ def latency_quantiles(requests: DataFrame, keys: list[str], value: str = "latenc
     return stats.select(*keys, ((F.col("low") + F.col("high")) / 2).alias("p50"), "p95")
 
 
+def relevant_histogram(answers: DataFrame) -> DataFrame:
+    """answers: n_relevant -> cumulative histogram of the relevant chunks that answers rest on."""
+    return histogram(answers, F.col("n_relevant").cast("double"), [], P.RELEVANT_BUCKETS)
+
+
 def step_times(answers: DataFrame) -> DataFrame:
     """answers: trace array<struct<node, ms>> -> cumulative time histogram per step, in seconds."""
     steps = answers.select(F.inline("trace"))
