@@ -70,9 +70,10 @@ def collapsed(c: Column) -> Column:
     return F.regexp_replace(c, UNICODE + P.SPACED_LETTERS, "")
 
 
-def decoded_payloads(c: Column) -> Column:
-    """The first five base64-looking runs, decoded; only printable UTF-8 stays."""
-    blobs = F.slice(F.regexp_extract_all(c, F.lit(P.BASE64_PATTERN), F.lit(0)), 1, 5)
+def decoded_payloads(c: Column, limit: int | None = P.DEFAULTS.encoded_payloads) -> Column:
+    """The base64-looking runs (the first ``limit``, or all), decoded; only printable UTF-8 stays."""
+    blobs = F.regexp_extract_all(c, F.lit(P.BASE64_PATTERN), F.lit(0))
+    blobs = F.slice(blobs, 1, limit) if limit else blobs
 
     def decode(blob: Column) -> Column:
         missing = F.pmod(-F.length(blob), F.lit(4))

@@ -36,10 +36,6 @@ def cache_key(tenant: Column, question: Column, top_k: Column) -> Column:
     return F.concat(F.lit("ans:"), F.sha2(parts, 256))
 
 
-def key_fingerprint(api_key: Column) -> Column:
-    return F.left(F.sha2(api_key, 256), F.lit(12))
-
-
 def embedding_text(title: Column, section: Column, text: Column) -> Column:
     return F.concat(title, F.lit(" | "), F.coalesce(section, F.lit("")), F.lit("\n"), text)
 
@@ -99,14 +95,3 @@ def hash_embedding(terms: Column, dim: int = P.DEFAULTS.embedding_dim, mode: str
         return pd.Series(list(matrix / norms))
 
     return embed(terms)
-
-
-def vocabulary_id(bits: int = P.DEFAULTS.vocab_bits) -> Callable[[Column], Column]:
-    """Term -> ``bits``-bit id of the blake2b vocabulary, for exchange with hashed sparse vectors."""
-    mask = (1 << bits) - 1
-
-    @F.pandas_udf(T.IntegerType())
-    def ident(terms: pd.Series) -> pd.Series:
-        return terms.map(lambda t: None if t is None else _hash_blake2b(t)[0] & mask)
-
-    return ident

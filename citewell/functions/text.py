@@ -115,15 +115,6 @@ def content_terms(c: Column) -> Column:
     return terms_of_tokens(tokens(c))
 
 
-def index_terms(c: Column) -> Column:
-    """Content terms, or the raw tokens where there is no content term."""
-
-    def pick(toks: Column) -> Column:
-        return let(terms_of_tokens(toks), lambda terms: F.when(F.size(terms) > 0, terms).otherwise(toks))
-
-    return let(tokens(c), pick)
-
-
 def term_counts(terms: Column) -> Column:
     """array<struct<term, tf>> of one row's terms: sort, then measure the runs. No shuffle is needed,
     because all terms of a chunk are in its row."""

@@ -42,7 +42,7 @@ def matching_postings(chunks: DataFrame, qterms: DataFrame) -> DataFrame:
     frequencies and the scores read them."""
     wanted = qterms.select("tenant_id", "term").distinct()
     post = index.postings(chunks)
-    kept = session.salted_join(post, wanted, ["tenant_id", "term"], ["chunk_id"], "left_semi")
+    kept = post.join(wanted, ["tenant_id", "term"], "left_semi")
     return session.written(kept, "postings")
 
 
@@ -56,7 +56,7 @@ def term_weights(qterms: DataFrame, frequency: DataFrame, sizes: DataFrame) -> D
 
 
 def sparse_scores(post: DataFrame, weights: DataFrame) -> DataFrame:
-    matched = session.salted_join(post, weights, ["tenant_id", "term"], ["chunk_id"])
+    matched = post.join(weights, ["tenant_id", "term"])
     return (
         matched.groupBy(*LIST, "chunk_id")
         .agg(F.round(F.sum(F.col("weight") * F.col("idf")), 6).alias("score"))
@@ -136,7 +136,7 @@ def _dense_by_shuffle(vectors: DataFrame, queries: DataFrame, k: int, vector_blo
 
     vblocks = blocks_of(vectors, vector_block).withColumnRenamed("blocks", "vblocks")
     qblocks = blocks_of(queries, _QUERY_BLOCK).withColumnRenamed("blocks", "qblocks")
-    counts = F.broadcast(vblocks.join(qblocks, "tenant_id")) if session.is_small(vblocks) else vblocks.join(qblocks, "tenant_id")
+    counts = vblocks.join(qblocks, "tenant_id")
     vec = (
         vectors.join(counts, "tenant_id")
         .withColumn("vb", F.pmod(F.xxhash64("chunk_id"), F.col("vblocks")).cast("int"))

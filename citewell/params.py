@@ -19,7 +19,6 @@ class Settings:
     top_k: int = 5
     max_per_doc: int = 2
     relevance_threshold: float = 0.2
-    grounding_threshold: float = 0.6
     graph_hops: int = 2
     graph_fact_limit: int = 25
     explorer_fact_limit: int = 100
@@ -30,6 +29,7 @@ class Settings:
     injection_threshold: float = 0.7
     output_injection_threshold: float = 0.75
     cache_ttl_s: int = 300
+    encoded_payloads: int | None = None  # base64 runs of a text that are decoded and screened; None: all
     bm25_k1: float = 1.2
     bm25_b: float = 0.75
     bm25_avgdl: float = 120.0
@@ -167,7 +167,7 @@ POINT_NAMESPACE = "6f1c2a8e-3b7d-4e0a-9c55-1d2e3f4a5b6c"
 DOC_ID_PATTERN = r"^[A-Za-z0-9][A-Za-z0-9._\-]{0,127}$"
 MAX_TITLE, MAX_SOURCE, MAX_METADATA_KEYS = 300, 500, 20
 NODE_BUCKETS = (0.001, 0.005, 0.01, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10, 30)
-RELEVANT_BUCKETS = (0, 1, 2, 3, 5, 8, 13)
+RELEVANT_BUCKETS = (0.0, 1.0, 2.0, 3.0, 5.0, 8.0, 13.0)
 GATE_THRESHOLDS = {
     "hit_rate": 0.85, "mrr": 0.7, "answer_accuracy": 0.8, "groundedness": 0.9,
     "block_recall": 1.0, "block_precision": 1.0, "abstention": 1.0,

@@ -12,6 +12,4 @@ def _struct(**fields) -> T.StructType:
 STRINGS = T.ArrayType(S)
 DOCUMENT = _struct(doc_id=S, title=S, text=S, source=S, metadata=T.MapType(S, S))
 GOLDEN = _struct(question=S, expected_doc=S, must_contain=STRINGS, expect_no_answer=B, expect_blocked=B)
-QUESTION = _struct(qid=S, tenant_id=S, question=S, top_k=I)
-REQUEST = _struct(ts=T.TimestampType(), tenant_id=S, key_id=S, cache_key=S, route=S, status=I, latency_ms=D, cacheable=B)
 EVENT = _struct(event_id=L, ts=T.TimestampType(), user_id=L, event_type=S, value=D, props=S)

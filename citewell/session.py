@@ -1,4 +1,6 @@
-"""Session helpers: builder, written cuts of the lineage, size-checked broadcasts, skew salting."""
+"""Session helpers: builder and written cuts of the lineage.
+
+Joins carry no hints: adaptive execution broadcasts a side by its measured bytes and splits skewed partitions."""
 
 from __future__ import annotations
 
@@ -7,24 +9,22 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows up to which a table may be broadcast or pulled into a task closure. Ids and short strings only.
-BROADCAST_ROWS = 200_000
+from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
+def build_session(master: str = "local[8]", shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
+    """A session with adaptive execution. The number of shuffle partitions is the caller's; without one, Spark's own holds."""
     builder = (
         SparkSession.builder.master(master)
         .appName("citewell")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
     )
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -50,11 +50,13 @@ def ship_package(spark: SparkSession) -> SparkSession:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster. Only a session without one (tests, laptops) gets a local folder."""
+    """The shared folder of the cluster. Only a local master may do without one and then gets a local folder."""
     configured = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", ""
     )
     if not configured:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="citewell-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
@@ -73,56 +75,3 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True if ``df`` has at most ``rows`` rows; reads no more than ``rows + 1`` of them per partition."""
-    return df.select(F.lit(1)).limit(rows + 1).count() <= rows
-
-
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its size was checked and allows it, else unchanged: Spark then joins
-    by shuffle and AQE splits skewed partitions."""
-    return F.broadcast(df) if is_small(df, rows) else df
-
-
-SPREAD_BYTES = 1 << 30
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Small inputs often sit in one row group, which is one task. They are dealt out to all cores; a large input has
-    enough row groups and stays where it is."""
-    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
-def salt_of(salts: int, *by: str | Column) -> Column:
-    return F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")
-
-
-def hot_keys(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
-    """Keys with more than ``rows`` rows: at most one for every ``rows`` rows of ``df``."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > rows).select(*keys)
-
-
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], by: list[str], how: str = "inner",
-                salts: int = 16, broadcast_rows: int = BROADCAST_ROWS, hot_rows: int = 1_000_000) -> DataFrame:
-    """Join where one key may hold a large share of ``big``.
-
-    A side of checked size is broadcast, so the other one does not move at all. If both are large they are shuffled,
-    and the keys of ``big`` above ``hot_rows`` rows are salted: their rows spread over ``salts`` tasks by the columns
-    ``by``, and only the matching rows of ``small`` are repeated."""
-    if is_small(small, broadcast_rows):
-        return big.join(F.broadcast(small), keys, how)
-    if how == "inner" and is_small(big, broadcast_rows):
-        return F.broadcast(big).join(small, keys)
-    hot = written(hot_keys(big, keys, hot_rows), "hot")
-    if hot.isEmpty():
-        return big.join(small, keys, how)
-    marked = small_side(hot.withColumn("_hot", F.lit(True)))
-    salt = F.when(F.col("_hot"), salt_of(salts, *by)).otherwise(F.lit(0))
-    spread_out = big.join(marked, keys, "left").withColumn("_salt", salt).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = small.join(marked, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return spread_out.join(repeated, [*keys, "_salt"], how).drop("_salt")

@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from citewell import params as P
 from citewell.functions import text
-from citewell.session import ship_package, spread
+from citewell.session import ship_package
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows) if name in ("documents", "pages", "conversations", "lineitem") else rows
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def corpus(spark: SparkSession, sf_dir: str, tenant: str = "source") -> DataFrame:
@@ -24,6 +23,12 @@ def corpus(spark: SparkSession, sf_dir: str, tenant: str = "source") -> DataFram
                        F.col("doc_id").cast("string").alias("doc_id"), "text", "lang")
 
 
+def owners(spark: SparkSession, sf_dir: str, tenant: str = "source") -> DataFrame:
+    """tenant_id of every document, without its text."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select((F.lit("all") if tenant == "all" else F.col(tenant)).alias("tenant_id"))
+
+
 def user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions of the conversations table; the tenant is one of the document sources."""
     turns = table(spark, sf_dir, "conversations").filter("role = 'user'")

@@ -213,10 +213,9 @@ SELECT tenant_id, 'input' AS stage, type, count(*)::BIGINT AS n FROM e GROUP BY
 def _drafts(spark, d):
     """Assistant turns as drafted answers with citations; some cite passages that do not exist, some leak the canary."""
     t = table(spark, d, "conversations").filter("role = 'assistant'")
-    first = F.element_at(F.split("text", "\n"), 1)
     return t.select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("qid"),
-        F.concat(F.lit(" "), first, F.lit(" [1] [2] ["), (F.col("conv_id") % 12).cast("string"), F.lit("]"),
+        F.concat(F.lit(" "), F.col("text"), F.lit(" [1] [2] ["), (F.col("conv_id") % 12).cast("string"), F.lit("]"),
                  F.when(F.col("conv_id") % 10 == 3, " mail me@corp.example").when(F.col("conv_id") % 10 == 4, " CANARY-7f").when(
                      F.col("conv_id") % 10 == 5, ATTACKS[0]).otherwise("")).alias("answer"),
         F.lit("CANARY-7f").alias("canary"), (F.col("conv_id") % 4).cast("int").alias("n_refs"))
@@ -228,7 +227,7 @@ def output_check(spark, d):
                     F.array_join("valid_refs", ",").alias("refs"), "leaked")
 
 
-_DRAFT = f"""(SELECT conv_id || '-' || turn AS qid, ' ' || string_split(text, chr(10))[1] || ' [1] [2] [' || (conv_id % 12) || ']' || CASE conv_id % 10 WHEN 3 THEN ' mail me@corp.example'
+_DRAFT = f"""(SELECT conv_id || '-' || turn AS qid, ' ' || text || ' [1] [2] [' || (conv_id % 12) || ']' || CASE conv_id % 10 WHEN 3 THEN ' mail me@corp.example'
 WHEN 4 THEN ' CANARY-7f' WHEN 5 THEN {quoted(ATTACKS[0])} ELSE '' END AS answer, (conv_id % 4)::INT AS n_refs FROM conversations WHERE role = 'assistant')"""
 OUTPUT = f"""WITH r0 AS (SELECT qid AS doc_id, n_refs::VARCHAR AS tenant_id, answer AS text FROM {_DRAFT} a),
 {_STEPS},

@@ -9,7 +9,7 @@ from citewell import params as P
 from citewell import session
 from citewell.functions import text
 from citewell.operators import index, search
-from queries.common import USER_TURNS, corpus, sql_index_terms, sql_overlap, sql_terms, table, user_turns
+from queries.common import USER_TURNS, corpus, owners, sql_index_terms, sql_overlap, sql_terms, table, user_turns
 
 S = P.DEFAULTS
 DIM = 64
@@ -42,7 +42,7 @@ def doc_freq(spark, d):
     """Document frequency and inverse frequency of every term of every tenant."""
     chunks = index.with_terms(corpus(spark, d))
     df = index.document_frequency(index.postings(chunks))
-    sizes = index.corpus_size(corpus(spark, d))
+    sizes = index.corpus_size(owners(spark, d))
     return df.join(sizes, "tenant_id").select("tenant_id", "term", "df", "n", F.round(index.inverse_frequency(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
@@ -51,12 +51,13 @@ DOC_FREQ = f"WITH {_postings_sql('source')} SELECT tenant_id, term, df, n, round
 
 
 def hash_embed(spark, d):
-    """Hashed-feature embeddings of the user turns, in long form: one row per slot in use."""
+    """Hashed-feature embeddings of all documents, in long form: one row per slot in use."""
     from citewell.functions import identity
 
-    rows = index.with_terms(user_turns(spark, d), "question")
-    rows = rows.select("qid", F.posexplode(identity.hash_embedding(F.col("content"), DIM)).alias("slot", "value"))
-    return rows.filter("value <> 0").select("qid", F.col("slot").cast("long").alias("slot"), F.round("value", 6).alias("value"))
+    rows = index.with_terms(corpus(spark, d))
+    rows = rows.select("doc_id", F.posexplode(identity.hash_embedding(F.col("content"), S.embedding_dim)).alias("slot", "value"))
+    rows = rows.filter(F.round("value", 12) != 0)
+    return rows.select("doc_id", F.col("slot").cast("long").alias("slot"), F.round("value", 6).alias("value"))
 
 
 def embeddings_sql(name: str, source: str, key: str, column: str, dim: int) -> str:
@@ -72,7 +73,8 @@ def embeddings_sql(name: str, source: str, key: str, column: str, dim: int) -> s
 {name} AS (SELECT {key}, slot, v / nullif(sqrt(sum(v * v) OVER (PARTITION BY {key})), 0) AS value FROM {name}_v)"""
 
 
-HASH_EMBED = f"WITH {embeddings_sql('e', USER_TURNS, 'qid', 'question', DIM)} SELECT qid, slot, round(value, 6) AS value FROM e WHERE round(value, 12) <> 0"
+_DOCS = "(SELECT doc_id::VARCHAR AS doc_id, text FROM documents)"
+HASH_EMBED = f"WITH {embeddings_sql('e', _DOCS, 'doc_id', 'text', S.embedding_dim)} SELECT doc_id, slot, round(value, 6) AS value FROM e WHERE round(value, 12) <> 0"
 
 
 # ---- sparse ------------------------------------------------------------------------------------
@@ -88,7 +90,7 @@ def _sparse(spark, d, queries, tenant, k):
     docs = index.with_terms(corpus(spark, d, tenant))
     qterms = session.written(search.query_terms(queries), "qterms")
     post = search.matching_postings(docs, qterms)
-    sizes = index.corpus_size(corpus(spark, d, tenant))
+    sizes = index.corpus_size(owners(spark, d, tenant))
     weights = session.written(search.term_weights(qterms, index.document_frequency(post), sizes), "weights")
     return search.top_k(search.sparse_scores(post, weights), search.LIST, k, channel="sparse")
 
@@ -115,7 +117,7 @@ def bm25_quality(spark, d):
     # a quoted passage shares its first twelve tokens with the document: an equi join on ids, the texts come later
     grams = docs.select("chunk_id", F.explode(F.array_distinct(_token_grams(F.col("text")))).alias("gram"))
     lead = items.select("qid", F.element_at(_token_grams(F.col("text")), 1).alias("gram"))
-    near = grams.join(session.small_side(lead), "gram").select("qid", "chunk_id").distinct()
+    near = grams.join(lead, "gram").select("qid", "chunk_id").distinct()
     quoted_in = F.contains("text", F.col("passage"))
     truth = near.join(docs.select("chunk_id", "text"), "chunk_id").join(items.select("qid", F.col("text").alias("passage")), "qid").filter(quoted_in).select("qid", "chunk_id")
     ranks = truth.join(top.select("qid", "chunk_id", "rank"), ["qid", "chunk_id"], "left").groupBy("qid").agg(F.min("rank").alias("rank"))

@@ -202,7 +202,6 @@ QUERIES = {
     "latency_p95_alert": (latency_p95, P95),
     "latency_quantiles": (latency_quantiles, QUANTILES),
     "latency_histogram": (latency_histogram, HISTOGRAM),
-    "status_counts": (status_counts, None),
     "step_times": (step_times, STEPS),
     "key_to_tenant": (key_to_tenant, KEYS),
 }

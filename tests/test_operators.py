@@ -16,15 +16,6 @@ S = P.DEFAULTS
 WORDS = [f"w{c}{i}" for c in "abcdef" for i in range(6)]
 
 
-def test_salted_join_equals_plain_join(spark):
-    rng = random.Random(1)
-    big = spark.createDataFrame([("hot" if rng.random() < 0.4 else f"k{rng.randrange(30)}", i) for i in range(2000)], "k string, i int")
-    small = spark.createDataFrame([(k, n) for k in ["hot", *[f"k{j}" for j in range(0, 30, 2)]] for n in range(3)], "k string, n int")
-    for how in ("inner", "left_semi", "left"):
-        want = sorted(map(str, big.join(small, "k", how).collect()))
-        assert sorted(map(str, session.salted_join(big, small, ["k"], ["i"], how, 4, broadcast_rows=5, hot_rows=100).collect())) == want
-
-
 def test_bm25_equals_brute_force_and_respects_tenants(spark):
     rng = random.Random(2)
     docs = [("t1" if rng.random() < 0.7 else "t2", f"d{i:03}", " ".join(rng.choices(WORDS, k=rng.randint(1, 40)))) for i in range(120)]
