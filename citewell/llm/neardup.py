@@ -5,8 +5,11 @@ signature: ``min over x of pi(sigma(x) - k mod 2^32)``. Signatures are cut into
 candidates, and every link is confirmed on the full shingle sets.
 
 Documents with the same set form a class and are compared once. Within a bucket, pairs are not enumerated: all classes are compared with
-the bucket's hub, the class with the most bucket mates over all bands. Only classes of a bucket that are still in different components are
-then compared with each other, which leaves nothing out. Links are components' edges; hubs and copies never gather in one task.
+the bucket's hub, the class with the most bucket mates over all bands. A pair x, y of the bucket that this leaves in different components has one
+end that is not linked with the hub h. By |x ^ y| = |x ^ h| + |y ^ h| - 2 |(x ^ h) & (y ^ h)| (^: symmetric difference) such a pair can only be a
+link if the two differences from the hub have elements in common, and how many follows from their sizes. So these pairs are found by an equi-join on
+the first elements of the differences (prefix filter), where independent edits share next to nothing, and no link is left out.
+Links are edges of components; hubs and copies never gather in one task.
 """
 
 from __future__ import annotations
@@ -128,6 +131,41 @@ def _confirm(shingle_words: int, similarity: int):
     return run
 
 
+def prefixes(x: np.ndarray, h: np.ndarray, out: bool, similarity: int) -> tuple[np.ndarray, np.ndarray, int, float]:
+    """Of the difference of x from its hub h, the elements that a partner must meet (as the end not linked with h, as the other end), the size of
+    the difference, and how much of it x's own size does not allow for: two ends must share at least half of the sum of these.
+
+    With q = (100 - s) / (100 + s), x and y are linked iff |x ^ y| <= q (|x| + |y|), and the end not linked with h has |x ^ h| > q (|x| + |h|).
+    Elements come in one order for the whole star: those that h does not have first, since they are rarest."""
+    new, lost = np.setdiff1d(x, h, assume_unique=True), np.setdiff1d(h, x, assume_unique=True)
+    delta, q = np.concatenate([new, lost]), (100 - similarity) / (100 + similarity)
+    free = len(delta) - q * len(x)
+    least = lambda bound: max(1, int(np.ceil(bound / 2 - 1e-9)))
+    right = len(delta) - least(free + q * len(h)) + 1
+    left = len(delta) - least(free + 1 - q * len(x) * 100 / similarity) + 1 if out else 0
+    return delta[:max(0, left)], delta[:max(0, right)], len(delta), free
+
+
+def _deltas(shingle_words: int, similarity: int):
+    kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2 + [pa.int64(), pa.float64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                h, c, component, out, th, tc = (x.to_pylist() for x in batch.slice(at, 128).columns)
+                hubs, rows = {}, []
+                for i, (_, x) in enumerate(_sets(tc, shingle_words)):
+                    if h[i] not in hubs:
+                        hubs[h[i]] = next(_sets([th[i]], shingle_words))[1]
+                    left, right, size, free = prefixes(x, hubs[h[i]], out[i], similarity)
+                    rows.append((h[i], c[i], component[i], left.view(np.int64), right.view(np.int64), size, free))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+                                                     names=["h", "c", "component", "left", "right", "size", "free"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS,
                     similarity: int = SIMILARITY, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
@@ -154,20 +192,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = written(_texts(base, classes, mates, shingle_words), "candidate-texts")
     links = written(_confirmed(wanted, texts, shingle_words, similarity), "links")
 
-    # What a bucket still holds in different components: every class outside the hub's component against all others.
+    # What a bucket still holds in different components.
     label = components(links, "classes").select(F.col("id").alias("c"), "component")
-    placed = mates.join(label, "c", "left").withColumn("component", F.coalesce("component", "c"))
-    placed = placed.select("bucket", "c", "n", "mates", "component")
-    mixed = placed.filter("mates > 2").groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    placed = written(placed.join(mixed.select("bucket"), "bucket"), "mixed-buckets")
-    hub_label = label.select(F.col("c").alias("hc"), F.col("component").alias("hub_component"))
-    hub_of = hubs.select("bucket", F.col("hub.c").alias("hc")).join(hub_label, "hc", "left")
-    hub_of = hub_of.select("bucket", F.coalesce("hub_component", "hc").alias("hub_component"))
-    outside = placed.join(hub_of, "bucket").filter("component <> hub_component").select(
-        "bucket", F.col("c").alias("other"), F.col("n").alias("m"), F.col("component").alias("other_component"))
-    second = placed.join(outside, "bucket").filter("component <> other_component").select("c", "n", "other", "m")
-    second = _wanted(second, similarity).join(wanted, ["a", "b"], "left_anti")
-    more = _confirmed(second, texts, shingle_words, similarity)
+    placed = mates.filter("mates > 2").join(label, "c", "left").withColumn("component", F.coalesce("component", "c")).select("bucket", "c", "component")
+    hub_label = label.select(F.col("c").alias("h"), F.col("component").alias("hc"))
+    hub_of = hubs.select("bucket", F.col("hub.c").alias("h")).join(hub_label, "h", "left").select("bucket", "h", F.coalesce("hc", "h").alias("hc"))
+    placed = placed.join(hub_of, "bucket").select("h", "c", "component", (F.col("component") != F.col("hc")).alias("out")).distinct()
+    placed = written(placed, "stars")
+    open_hubs = placed.filter("out").select("h").distinct()
+    stars = placed.filter("c <> h").join(open_hubs, "h", "left_semi")
+    deltas = stars.join(texts.select(F.col("c").alias("h"), F.col("text").alias("th")), "h").join(texts.select("c", F.col("text").alias("tc")), "c")
+    deltas = deltas.select("h", "c", "component", "out", "th", "tc").mapInArrow(
+        _deltas(shingle_words, similarity), "h long, c long, component long, `left` array<long>, `right` array<long>, size long, free double")
+    deltas = written(deltas, "star-differences")
+    outside = deltas.select("h", F.posexplode("left").alias("j", "e"), F.col("c").alias("other"), F.col("component").alias("other_component"),
+                            F.col("size").alias("other_size"), F.col("free").alias("other_free"))
+    others = deltas.select("h", F.posexplode("right").alias("i", "e"), "c", "component", "size", "free")
+    least = F.greatest(F.lit(1), F.ceil((F.col("free") + F.col("other_free")) / 2 - 1e-9))  # elements that a linked pair shares
+    second = others.join(outside, ["h", "e"]).filter("component <> other_component")
+    second = second.filter((F.col("i") <= F.col("size") - least) & (F.col("j") <= F.col("other_size") - least))
+    second = second.select(F.least("c", "other").alias("a"), F.greatest("c", "other").alias("b")).distinct()
+    more = _confirmed(second.join(wanted, ["a", "b"], "left_anti"), texts, shingle_words, similarity)
 
     rep = classes.select("c", "rep")
     linked = links.unionByName(more).join(rep.toDF("a", "ra"), "a").join(rep.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
