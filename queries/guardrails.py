@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from citewell import params as P
 from citewell.functions import guard, text
-from citewell.operators import traffic
+from citewell.operators import events
 from queries.common import USER_TURNS, corpus, quoted, sql_ascii, table, user_turns
 
 ATTACKS = [
@@ -197,11 +197,7 @@ CASE WHEN long THEN '' ELSE array_to_string(types, ',') END AS pii, CASE WHEN lo
 
 def guardrail_events(spark, d):
     """Event counters by stage and type of the input guard."""
-    r = guard.check_input(_risky_turns(spark, d)).select("tenant_id", "pii_types", "block_reason")
-    pii = r.select("tenant_id", F.explode("pii_types").alias("type")).withColumn("type", F.concat(F.lit("pii_"), F.lower("type")))
-    reason = r.filter("block_reason in ('prompt_injection', 'harmful_content')").select(
-        "tenant_id", F.when(F.col("block_reason") == "harmful_content", "harmful").otherwise(F.col("block_reason")).alias("type"))
-    return traffic.counters(pii.unionByName(reason).withColumn("stage", F.lit("input")), "tenant_id", "stage", "type")
+    return events.counted(events.input_events(guard.check_input(_risky_turns(spark, d))))
 
 
 EVENTS = f"""WITH {_decision_ctes()},
@@ -243,6 +239,21 @@ CASE WHEN leaked THEN 'system_prompt_leak' ELSE array_to_string(list_filter([CAS
 CASE WHEN leaked THEN '' ELSE array_to_string(list_sort(types), ',') END AS pii, CASE WHEN leaked THEN '' ELSE array_to_string(valid, ',') END AS refs
 FROM o JOIN inj USING (qid) JOIN leak USING (qid)"""
 
+
+def guardrail_stages(spark, d):
+    """Events of all stages: questions, documents with planted attacks, drafted answers (one tenant)."""
+    screened = guard.injection_flags(planted_attacks(spark, d), "text").withColumn("quarantined", F.col("injection.score") >= P.DEFAULTS.injection_threshold)
+    drafts = guard.check_output(_drafts(spark, d)).withColumn("tenant_id", F.lit("all"))
+    return events.counted(events.input_events(guard.check_input(_risky_turns(spark, d))), events.ingest_events(screened), events.output_events(drafts))
+
+
+STAGES = f"""SELECT tenant_id, stage, type, sum(n)::BIGINT AS n FROM (
+SELECT * FROM ({EVENTS}) UNION ALL
+SELECT tenant_id, 'ingest', 'indirect_injection', quarantined FROM ({QUARANTINE}) WHERE quarantined > 0 UNION ALL
+SELECT 'all', 'output', 'pii_' || lower(unnest(string_split(pii, ','))), 1 FROM ({OUTPUT}) WHERE pii <> '' UNION ALL
+SELECT 'all', 'output', CASE f WHEN 'system_prompt_leak' THEN 'prompt_leak' WHEN 'invalid_citations_removed' THEN 'invalid_citation' ELSE 'suspicious' END, 1
+FROM (SELECT unnest(string_split(flags, ',')) AS f FROM ({OUTPUT})) WHERE f NOT IN ('', 'pii_redacted')) GROUP BY ALL"""
+
 QUERIES = {
     "redact_documents": (redact_documents, REDACTED),
     "redaction_counts": (redaction_counts, COUNTS),
@@ -252,4 +263,5 @@ QUERIES = {
     "input_decision": (input_decision, DECISION),
     "guardrail_events": (guardrail_events, EVENTS),
     "output_check": (output_check, OUTPUT),
+    "guardrail_stages": (guardrail_stages, STAGES),
 }
