@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from citewell import params as P
 from citewell import session
 from citewell.functions import text
-from citewell.operators import index, search
+from citewell.operators import approximate, index, search
 from queries.common import USER_TURNS, corpus, owners, sql_index_terms, sql_overlap, sql_terms, table, user_turns
 
 S = P.DEFAULTS
 DIM = 64
+PROBES = 40  # of 64 cells: the supplied vectors have hardly any structure beyond close copies
 
 
 # ---- index -------------------------------------------------------------------------------------
@@ -172,6 +173,20 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_i
 SELECT qid, chunk_id, rank, round(score, 6) AS score FROM r WHERE rank < 10"""
 
 
+def approximate_recall(spark, d):
+    """Every twentieth vector as a query against all, exact and through the cells: how many of the ten exact neighbours are found."""
+    vec = table(spark, d, "embeddings").select("vec_id", "embedding")
+    asked = vec.filter("vec_id % 20 = 0")
+    centres = approximate.centroids(vec)
+    near = approximate.search(asked, approximate.inverted_file(vec, centres, "vec_id"), centres, "vec_id", 10, PROBES).select("qid", "id", F.lit(1).alias("hit"))
+    one = F.lit("all").alias("tenant_id")
+    exact = search.dense_search(asked.select(one, F.col("vec_id").cast("string").alias("qid"), F.lit(0).alias("subquery_no"), "embedding"),
+                                vec.select(one, F.col("vec_id").cast("string").alias("chunk_id"), "embedding"), 10)
+    exact = exact.select(F.col("qid").cast("long").alias("qid"), F.col("chunk_id").cast("long").alias("id"))
+    found = exact.join(near, ["qid", "id"], "left").groupBy("qid").agg(F.count(F.lit(1)).alias("exact"), F.count("hit").alias("found"))
+    return found.withColumn("vectors", F.lit(vec.count()))
+
+
 def dense_label_purity(spark, d):
     """Every vector as a query: share of its nearest ten that carry its label. Uses the shuffled block search."""
     vec = table(spark, d, "embeddings").select(F.lit("t").alias("tenant_id"), F.col("vec_id").cast("string").alias("chunk_id"), "embedding", "label")
@@ -265,6 +280,7 @@ QUERIES = {
     "term_freq": (term_freq, TERM_FREQ),
     "doc_freq": (doc_freq, DOC_FREQ),
     "hash_embed": (hash_embed, HASH_EMBED),
+    "approximate_recall": (approximate_recall, None),
     "dense_topk": (dense_topk, DENSE),
     "dense_label_purity": (dense_label_purity, PURITY),
     "rrf_fuse": (rrf_fuse, RRF),
