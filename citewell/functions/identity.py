@@ -45,51 +45,62 @@ def embedding_text(title: Column, section: Column, text: Column) -> Column:
 # the 16th. blake2b mode: 8 bytes, little endian; the sign is the top bit.
 
 
-@lru_cache(maxsize=1 << 18)
 def _hash_md5(feature: str) -> tuple[int, bool]:
     digits = hashlib.md5(feature.encode()).hexdigest()
     return int(digits[:15], 16), int(digits[15], 16) % 2 == 1
 
 
-@lru_cache(maxsize=1 << 18)
 def _hash_blake2b(feature: str) -> tuple[int, bool]:
     h = int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "little")
     return h, bool(h >> 63)
 
 
 _HASHES: dict[str, Callable[[str], tuple[int, bool]]] = {"md5": _hash_md5, "blake2b": _hash_blake2b}
+# FIXED VALUES: weights of a term, of two neighbouring terms, of a run of four letters in a term longer than five
+TERM_WEIGHT, PAIR_WEIGHT, GRAM_WEIGHT = 1.0, 0.7, 0.25
 
 
 @lru_cache(maxsize=1 << 17)
-def _term_features(term: str) -> tuple[tuple[str, float], ...]:
-    grams = tuple((f"#{term[i:i + 4]}", 0.25) for i in range(len(term) - 3)) if len(term) > 5 else ()
-    return ((term, 1.0), *grams)
+def _places(feature: str, mode: str, dim: int) -> tuple[int, float]:
+    h, positive = _HASHES[mode](feature)
+    return h % dim, 1.0 if positive else -1.0
 
 
-def _features(terms: list[str]):
-    for term in terms:
-        yield from _term_features(term)
-    for left, right in zip(terms, terms[1:]):
-        yield f"{left}_{right}", 0.7
+@lru_cache(maxsize=1 << 17)
+def _term_places(term: str, mode: str, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and signed weights of all features that a term has by itself."""
+    grams = [f"#{term[i:i + 4]}" for i in range(len(term) - 3)] if len(term) > 5 else []
+    slots, signs = zip(*(_places(f, mode, dim) for f in [term, *grams]))
+    return np.array(slots), np.array(signs) * np.array([TERM_WEIGHT, *[GRAM_WEIGHT] * len(grams)])
 
 
 def hash_embedding(terms: Column, dim: int = P.DEFAULTS.embedding_dim, mode: str = "md5") -> Column:
-    """Unit vector over ``dim`` slots of hashed term, bigram and 4-gram features.
+    """Unit vector over ``dim`` slots of hashed term, pair and 4-gram features.
 
-    All features of a chunk come from its own row, so the whole vector is built there: no shuffle."""
-    hashed = _HASHES[mode]
+    All features of a chunk come from its own row, so the whole vector is built there: no shuffle. In a batch every distinct term and
+    pair is hashed once; occurrences are then laid out and summed as arrays."""
+    if mode not in _HASHES:
+        raise ValueError(f"unknown hash mode {mode}")
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def embed(batch: pd.Series) -> pd.Series:
-        slots, weights = [], []
-        for row, row_terms in enumerate(batch):
-            base = row * dim
-            for feature, weight in _features([] if row_terms is None else list(row_terms)):
-                h, positive = hashed(feature)
-                slots.append(base + h % dim)
-                weights.append(weight if positive else -weight)
-        flat = np.bincount(np.asarray(slots, dtype=np.int64), weights=weights, minlength=len(batch) * dim)
-        matrix = flat.astype(np.float64).reshape(len(batch), dim)
+        lists = [[] if t is None else list(t) for t in batch]
+        row = np.repeat(np.arange(len(lists)), [len(t) for t in lists])
+        code, names = pd.factorize(np.array([x for t in lists for x in t], dtype=object))
+        total = np.zeros(len(lists) * dim)
+        if len(code):
+            own = [_term_places(x, mode, dim) for x in names]
+            slots, weights = (np.concatenate(x) for x in zip(*own))
+            count = np.array([len(x) for x, _ in own])
+            n, begin = count[code], (np.cumsum(count) - count)[code]
+            at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            total += np.bincount(np.repeat(row, n) * dim + slots[at], weights=weights[at], minlength=len(total))
+            beside = np.flatnonzero(row[1:] == row[:-1])
+            pair, kinds = pd.factorize(code[beside] * len(names) + code[beside + 1])
+            if len(pair):
+                slots, signs = zip(*(_places(f"{names[k // len(names)]}_{names[k % len(names)]}", mode, dim) for k in kinds.tolist()))
+                total += PAIR_WEIGHT * np.bincount(row[beside] * dim + np.array(slots)[pair], weights=np.array(signs)[pair], minlength=len(total))
+        matrix = total.reshape(len(lists), dim)
         norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
         norms[norms == 0.0] = 1.0
         return pd.Series(list(matrix / norms))
