@@ -30,6 +30,11 @@ SIMILARITY = 80  # percent
 BANDS = 40
 BAND_ROWS = 6
 _BLOCK = 1 << 14
+STAR_SAMPLE = 64  # members of a star that tell which elements are frequent there; this orders prefixes, it decides nothing
+STAR_COMMON = 256
+
+
+_NONE = np.empty(0, np.uint64)
 
 
 def _sigma(x: np.ndarray) -> np.ndarray:
@@ -131,14 +136,19 @@ def _confirm(shingle_words: int, similarity: int):
     return run
 
 
-def prefixes(x: np.ndarray, h: np.ndarray, out: bool, similarity: int) -> tuple[np.ndarray, np.ndarray, int, float]:
+def prefixes(x: np.ndarray, h: np.ndarray, out: bool, similarity: int, common: np.ndarray = _NONE) -> tuple[np.ndarray, np.ndarray, int, float]:
     """Of the difference of x from its hub h, the elements that a partner must meet (as the end not linked with h, as the other end), the size of
     the difference, and how much of it x's own size does not allow for: two ends must share at least half of the sum of these.
 
     With q = (100 - s) / (100 + s), x and y are linked iff |x ^ y| <= q (|x| + |y|), and the end not linked with h has |x ^ h| > q (|x| + |h|).
-    Elements come in one order for the whole star: those that h does not have first, since they are rarest."""
-    new, lost = np.setdiff1d(x, h, assume_unique=True), np.setdiff1d(h, x, assume_unique=True)
-    delta, q = np.concatenate([new, lost]), (100 - similarity) / (100 + similarity)
+    Elements come in one order for the whole star, the rarest first: those that h does not have, those that it has, and last the ``common``
+    ones of the star by rising frequency."""
+    delta, q = _difference(x, h), (100 - similarity) / (100 + similarity)
+    if len(common) and len(delta):
+        order = np.argsort(common)
+        at = np.minimum(np.searchsorted(common[order], delta), len(common) - 1)
+        rank = np.where(common[order][at] == delta, order[at], -1)
+        delta = delta[np.argsort(rank, kind="stable")]
     free = len(delta) - q * len(x)
     least = lambda bound: max(1, int(np.ceil(bound / 2 - 1e-9)))
     right = len(delta) - least(free + q * len(h)) + 1
@@ -146,18 +156,37 @@ def prefixes(x: np.ndarray, h: np.ndarray, out: bool, similarity: int) -> tuple[
     return delta[:max(0, left)], delta[:max(0, right)], len(delta), free
 
 
+def _difference(x: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.setdiff1d(x, h, assume_unique=True), np.setdiff1d(h, x, assume_unique=True)])
+
+
+def _frequent(shingle_words: int):
+    """Of the sampled members of one star, the elements that several differences hold, by rising frequency."""
+    def run(table: pa.Table) -> pa.Table:
+        h = table.column("h")[0].as_py()
+        hub = next(_sets([table.column("th")[0].as_py()], shingle_words))[1]
+        found = [_difference(x, hub) for _, x in _sets(table.column("tc").to_pylist(), shingle_words)]
+        elements, counts = np.unique(np.concatenate([*found, _NONE]), return_counts=True)
+        order = np.argsort(counts, kind="stable")
+        order = order[counts[order] > 1][-STAR_COMMON:]
+        return pa.table({"h": pa.array([h], pa.int64()), "common": pa.array([elements[order].view(np.int64)], pa.list_(pa.int64()))})
+
+    return run
+
+
 def _deltas(shingle_words: int, similarity: int):
     kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2 + [pa.int64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
-                h, c, component, out, th, tc = (x.to_pylist() for x in batch.slice(at, 128).columns)
+                h, c, component, out, th, tc, common = (x.to_pylist() for x in batch.slice(at, 128).columns)
                 hubs, rows = {}, []
                 for i, (_, x) in enumerate(_sets(tc, shingle_words)):
                     if h[i] not in hubs:
                         hubs[h[i]] = next(_sets([th[i]], shingle_words))[1]
-                    left, right, size, free = prefixes(x, hubs[h[i]], out[i], similarity)
+                    known = np.array(common[i] or (), dtype=np.int64).view(np.uint64)
+                    left, right, size, free = prefixes(x, hubs[h[i]], out[i], similarity, known)
                     rows.append((h[i], c[i], component[i], left.view(np.int64), right.view(np.int64), size, free))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)],
@@ -201,8 +230,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     placed = written(placed, "stars")
     open_hubs = placed.filter("out").select("h").distinct()
     stars = placed.filter("c <> h").join(open_hubs, "h", "left_semi")
-    deltas = stars.join(texts.select(F.col("c").alias("h"), F.col("text").alias("th")), "h").join(texts.select("c", F.col("text").alias("tc")), "c")
-    deltas = deltas.select("h", "c", "component", "out", "th", "tc").mapInArrow(
+    hub_texts, own_texts = texts.select(F.col("c").alias("h"), F.col("text").alias("th")), texts.select("c", F.col("text").alias("tc"))
+    sizes = stars.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / STAR_SAMPLE).alias("step")).filter("step > 1")  # small stars need no order
+    sample = stars.select("h", "c").join(sizes, "h").filter(F.pmod(F.xxhash64("c"), F.col("step")) == 0).join(hub_texts, "h").join(own_texts, "c")
+    common = sample.select("h", "th", "tc").groupBy("h").applyInArrow(_frequent(shingle_words), "h long, common array<long>")
+    deltas = stars.join(common, "h", "left").join(hub_texts, "h").join(own_texts, "c")
+    deltas = deltas.select("h", "c", "component", "out", "th", "tc", "common").mapInArrow(
         _deltas(shingle_words, similarity), "h long, c long, component long, `left` array<long>, `right` array<long>, size long, free double")
     deltas = written(deltas, "star-differences")
     outside = deltas.select("h", F.posexplode("left").alias("j", "e"), F.col("c").alias("other"), F.col("component").alias("other_component"),
