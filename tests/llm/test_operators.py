@@ -160,8 +160,9 @@ def test_difference_prefixes_meet_for_every_link():
         if x == y or y == h or linked(x, h) or not linked(x, y):
             continue
         arrays = [np.array(sorted(s), dtype=np.uint64) for s in (x, y, h)]
-        left, _, left_size, left_free = neardup.prefixes(arrays[0], arrays[2], True, 80)
-        _, right, right_size, right_free = neardup.prefixes(arrays[1], arrays[2], False, 80)
+        common = np.array(r.sample(sorted(x | y | h), min(5, len(x))), dtype=np.uint64) if r.random() < 0.5 else np.empty(0, np.uint64)
+        left, _, left_size, left_free = neardup.prefixes(arrays[0], arrays[2], True, 80, common)
+        _, right, right_size, right_free = neardup.prefixes(arrays[1], arrays[2], False, 80, common)
         least = max(1, math.ceil((left_free + right_free) / 2 - 1e-9))
         place = {e: j for j, e in enumerate(left.tolist())}
         assert any(e in place and place[e] <= left_size - least and i <= right_size - least for i, e in enumerate(right.tolist()))
