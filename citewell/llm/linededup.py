@@ -1,20 +1,27 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by winnowing over line hashes, and passage dedup over the words themselves.
 
-A gram starts at a line and spans the fewest lines with at least ``gram_words`` words. From every line a window spans the fewest
+Lines: a gram starts at a line and spans the fewest lines with at least ``gram_words`` words. From every line a window spans the fewest
 lines with at least ``guarantee_words`` words; the smallest gram hash that lies within is a fingerprint. Windows depend on nothing
 but the lines inside, so two documents that share a run of lines with ``guarantee_words`` words always choose a common fingerprint.
 Fingerprints are joined by hash to their first position in the corpus only, never pair by pair. Each match is extended line by line in
 both directions, and the later run is deleted.
 
-"Earlier" is the order of (doc_id, hash of the text, line), null ids last. A line is only deleted for a strictly earlier equal
-line, so the first copy of every line always stays.
+Words: a passage may begin and end inside lines, and the first place of a fingerprint need not be the one that agrees longest. So every run of
+exactly ``guarantee_words`` words whose winnowed gram stands twice in the corpus is hashed, and every such run that stands earlier is deleted:
+a word goes if, and only if, one of the runs it lies in has an earlier copy anywhere. No pair of documents is compared.
+
+"Earlier" is the order of (doc_id, hash of the text, line or word), null ids last. A line is only deleted for a strictly earlier equal
+line and a word only in a run with a strictly earlier equal run, so the first copy always stays.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -22,9 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
+from .words import mix64
 
 GRAM_WORDS = 25
 GUARANTEE_WORDS = 50
+EDGE_WORDS = 4  # fewer words agree by chance before or after a run of whole lines
+_BASE = 0x9E3779B97F4A7C15
+_KNOWN_WORDS = 1 << 18
 
 
 def line_units(text: str) -> tuple[list[int], list[int], list[int]]:
@@ -125,32 +136,6 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     names=["doc_id", "h", "ranges"])
 
 
-def without(text: str, ranges: list) -> tuple[str, int, int, str]:
-    """The text without the units in ``ranges``; units and words deleted; the deleted line numbers as ``first-last`` runs."""
-    at, _, words = line_units(text)
-    gone = sorted({u for r in ranges for u in range(r["s"], r["e"])})
-    drop = {at[u] for u in gone}
-    for a, b in zip(gone, gone[1:], strict=False):
-        if b == a + 1:
-            drop.update(range(at[a] + 1, at[b]))
-    runs: list[list[int]] = []
-    for x in sorted(drop):
-        if runs and runs[-1][1] == x - 1:
-            runs[-1][1] = x
-        else:
-            runs.append([x, x])
-    kept = "" if len(gone) == len(at) else "\n".join(line for i, line in enumerate(text.split("\n")) if i not in drop)
-    return kept, len(gone), sum(words[u] for u in gone), ",".join(f"{a}-{b}" for a, b in runs)
-
-
-CLEANED = "struct<text:string,n_removed:long,words_removed:long,removed:string>"
-
-
-def _clean(text: pd.Series, ranges: pd.Series) -> pd.DataFrame:
-    rows = [(None, 0, 0, "") if t is None or r is None or not len(r) else without(t, r) for t, r in zip(text, ranges, strict=True)]
-    return pd.DataFrame(rows, columns=["text", "n_removed", "words_removed", "removed"])
-
-
 def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gram_words: int = GRAM_WORDS,
                   guarantee_words: int = GUARANTEE_WORDS) -> DataFrame:
     """(doc_id, h, ranges): for each document with repeated runs the line ranges that repeat something earlier; h is xxhash64 of the text."""
@@ -174,17 +159,198 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", g
     return runs.groupBy("doc_id", "h").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+# ---- passages of words ---------------------------------------------------------------------------
+
+
+class _Hashes(dict):
+    """Hash of a word; the first _KNOWN_WORDS different ones are remembered."""
+
+    def __missing__(self, word: str) -> int:
+        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        if len(self) < _KNOWN_WORDS:
+            self[word] = h
+        return h
+
+
+def word_runs(text: str, sizes: tuple[int, ...], known: dict[str, int]) -> list[np.ndarray]:
+    """For each size the hashes of all runs of so many words, by their first word."""
+    words = text.split()
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    sums = np.concatenate([np.zeros(1, np.uint64), (h * np.full(len(h), _BASE, np.uint64).cumprod()).cumsum()])
+    back = np.full(len(h), pow(_BASE, -1, 1 << 64), np.uint64).cumprod()
+    return [mix64((sums[k:] - sums[:-k]) * back[:len(h) - k + 1]) if len(h) >= k else np.empty(0, np.uint64) for k in sizes]
+
+
+def _slide(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
+    """``best`` over every ``width`` neighbours."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        x = best(x[:-step], x[step:])
+        done += step
+    return x
+
+
+def _picks(grams: np.ndarray, width: int) -> np.ndarray:
+    """The smallest gram hash of every ``width`` grams in a row."""
+    return _slide(grams, width, np.minimum) if len(grams) >= width else np.empty(0, np.uint64)
+
+
+def _marked(gram_words: int, guarantee_words: int):
+    width = guarantee_words - gram_words + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                ids, hs, texts = batch.slice(at, 256).columns
+                marks = []
+                for t in texts:
+                    grams = word_runs(t.as_py(), (gram_words,), known)[0]
+                    picks = _picks(grams, width)
+                    if len(picks):
+                        edge = np.zeros(width - 1, np.uint64)
+                        chosen = grams[_slide(np.concatenate([edge, picks, edge]), width, np.maximum) == grams]
+                        found, n = np.unique(chosen, return_counts=True)
+                        marks.append(np.repeat(found, np.minimum(n, 2)).view(np.int64))
+                    else:
+                        marks.append(np.empty(0, np.int64))
+                yield pa.RecordBatch.from_arrays([ids, hs, pa.array(marks, pa.list_(pa.int64()))], names=["doc_id", "h", "marks"])
+
+    return run
+
+
+def _windows(gram_words: int, guarantee_words: int):
+    width = guarantee_words - gram_words + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                ids, hs, texts, marks = batch.slice(at, 64).columns
+                hashes, places, counts = [], [], []
+                for t, m in zip(texts, marks, strict=True):
+                    grams, whole = word_runs(t.as_py(), (gram_words, guarantee_words), known)
+                    place = np.flatnonzero(np.isin(_picks(grams, width), np.array(m.as_py(), dtype=np.int64).view(np.uint64)))
+                    hashes.append(whole[place].view(np.int64))
+                    places.append(place.astype(np.int32))
+                    counts.append(len(place))
+                row = pa.array(np.repeat(np.arange(len(counts)), counts))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), ids.take(row), hs.take(row), pa.array(np.concatenate(places))],
+                                                 names=["w", "doc_id", "h", "at"])
+
+    return run
+
+
+def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gram_words: int = GRAM_WORDS,
+                      guarantee_words: int = GUARANTEE_WORDS) -> DataFrame:
+    """(doc_id, h, starts): the first words of all runs of ``guarantee_words`` words of a document that stand earlier; h is xxhash64 of the text."""
+    guarantee_words = max(gram_words, guarantee_words)
+    base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("h"), F.col(f"`{text}`").alias("text"))
+    base = base.filter("text is not null")
+    marks = base.mapInArrow(_marked(gram_words, guarantee_words), "doc_id long, h long, marks array<long>").filter("size(marks) > 0")
+    marks = written(marks, "word-marks").select("doc_id", "h", F.explode("marks").alias("g"))
+    twice = marks.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    some = marks.join(twice, "g").groupBy(F.col("doc_id").alias("d"), F.col("h").alias("dh")).agg(F.collect_set("g").alias("marks"))
+    both = base.join(some, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("dh"))).select("doc_id", "h", "text", "marks")
+    windows = written(both.mapInArrow(_windows(gram_words, guarantee_words), "w long, doc_id long, h long, at int"), "word-windows")
+    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h", "at")
+    first = windows.groupBy("w").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    later = windows.join(first, "w").filter(place != F.col("first"))
+    return later.groupBy("doc_id", "h").agg(F.collect_set("at").alias("starts"))
+
+
+def _covered(starts: list, lines: list[tuple[int, int]], n_words: int, guarantee_words: int) -> np.ndarray:
+    """Which words lie in the runs that begin at ``starts`` or in ``lines``, the words of repeated runs of lines. Where a repeated run of lines with
+    ``guarantee_words`` words ends at a line break in both copies, fewer than EDGE_WORDS words beyond it agree by chance and stay."""
+    cover = np.zeros(n_words, dtype=bool)
+    runs: list[list[int]] = []
+    for s in sorted(starts):
+        if runs and s <= runs[-1][1]:
+            runs[-1][1] = s + guarantee_words
+        else:
+            runs.append([s, s + guarantee_words])
+    whole = sorted({(a, b) for a, b in lines if b - a >= guarantee_words})
+    left, right = [a for a, _ in whole], sorted(b for _, b in whole)
+    for s, e in runs:
+        i, j = bisect_left(left, s), bisect_right(right, e) - 1
+        if i < len(left) and left[i] - s < EDGE_WORDS:
+            s = left[i]
+        if j >= 0 and e - right[j] < EDGE_WORDS:
+            e = right[j]
+        cover[s:e] = True
+    for a, b in lines:
+        cover[a:b] = True
+    return cover
+
+
+def _cut(line: str, cover: np.ndarray) -> str:
+    """The line without its covered words and the white space after them, or before them at its end."""
+    out, at = [], 0
+    found = [m.span() for m in re.finditer(r"\S+", line)]
+    for i, (s, _) in enumerate(found):
+        if cover[i] and (i == 0 or not cover[i - 1]):
+            out.append(line[at:s])
+        if cover[i]:
+            at = found[i + 1][0] if i + 1 < len(found) else len(line)
+    kept = "".join(out) + line[at:]
+    return kept.rstrip() if cover[-1] else kept
+
+
+def without(text: str, ranges: list, starts: list, guarantee_words: int = GUARANTEE_WORDS) -> tuple[str, int, int, str]:
+    """The text without the units in ``ranges`` and the runs of words at ``starts``; units deleted whole and words deleted; the deleted
+    line numbers as ``first-last`` runs."""
+    at, _, words = line_units(text)
+    first = np.concatenate([[0], np.cumsum(words)]).astype(int)
+    cover = _covered(starts, [(first[r["s"]], first[r["e"]]) for r in ranges], sum(words), guarantee_words)
+    gone = [u for u in range(len(at)) if cover[first[u]:first[u + 1]].all()]
+    drop = {at[u] for u in gone}
+    for a, b in zip(gone, gone[1:], strict=False):
+        if b == a + 1:
+            drop.update(range(at[a] + 1, at[b]))
+    runs: list[list[int]] = []
+    for x in sorted(drop):
+        if runs and runs[-1][1] == x - 1:
+            runs[-1][1] = x
+        else:
+            runs.append([x, x])
+    lines = text.split("\n")
+    for u, i in enumerate(at):
+        if i not in drop and cover[first[u]:first[u + 1]].any():
+            lines[i] = _cut(lines[i], cover[first[u]:first[u + 1]])
+    kept = "" if len(gone) == len(at) else "\n".join(line for i, line in enumerate(lines) if i not in drop)
+    return kept, len(gone), int(cover.sum()), ",".join(f"{a}-{b}" for a, b in runs)
+
+
+CLEANED = "struct<text:string,n_removed:long,words_removed:long,removed:string>"
+
+
+def _cleaner(guarantee_words: int):
+    def clean(text: pd.Series, ranges: pd.Series, starts: pd.Series) -> pd.DataFrame:
+        rows = [(None, 0, 0, "") if t is None or r is None or not len(r) + len(s) else without(t, r, list(s), guarantee_words)
+                for t, r, s in zip(text, ranges, starts, strict=True)]
+        return pd.DataFrame(rows, columns=["text", "n_removed", "words_removed", "removed"])
+
+    return F.pandas_udf(clean, CLEANED)
+
+
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gram_words: int = GRAM_WORDS,
+                guarantee_words: int = GUARANTEE_WORDS) -> DataFrame:
     """``docs`` with all its columns, ``text`` without later repeated runs, and __removed, __words_removed, __removed_lines.
 
+    Runs of lines go whole; a run of ``guarantee_words`` words that begins or ends inside a line is cut out of it. __removed and __removed_lines
+    count lines that went whole, __words_removed all words.
+
     Null texts stay null and empty ones empty; a document whose lines are all repeated becomes empty. Rows equal in doc_id and text are one
     document and stay alike; rows that share only the doc_id are two, in order of a hash of their text. Null doc_ids come last. An empty table gives
     no rows. Texts shorter than ``guarantee_words`` words neither lose nor lend lines. Other columns pass through, whatever their names."""
-    runs = repeated_runs(docs, doc_id, text, **options)
-    runs = runs.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), F.col("ranges").alias("__ranges"))
+    runs = repeated_runs(docs, doc_id, text, gram_words, guarantee_words).withColumn("starts", F.lit(None).cast("array<int>"))
+    passages = repeated_passages(docs, doc_id, text, gram_words, guarantee_words).withColumn("ranges", F.lit(None).cast(runs.schema["ranges"].dataType))
+    runs = runs.unionByName(passages).groupBy(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).agg(
+        F.flatten(F.collect_list("ranges")).alias("__ranges"), F.flatten(F.collect_list("starts")).alias("__starts"))
     column = F.col(f"`{text}`")
     joined = docs.join(runs, F.col(f"`{doc_id}`").eqNullSafe(F.col("__d")) & (F.xxhash64(column) == F.col("__h")), "left")
-    cleaned = F.pandas_udf(_clean, CLEANED)(F.when(F.col("__ranges").isNotNull(), column), F.col("__ranges"))
+    cleaned = _cleaner(max(gram_words, guarantee_words))(F.when(F.col("__ranges").isNotNull(), column), F.col("__ranges"), F.col("__starts"))
     out = joined.withColumn("__c", cleaned)
     kept = F.when(F.col("__ranges").isNull(), column).otherwise(F.col("__c.text"))
     return out.select(*[kept.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],

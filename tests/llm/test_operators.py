@@ -587,3 +587,29 @@ def test_winnowing_guarantee():
             _, hashes, count = linededup.line_units(text)
             picks.append({g for g, _ in linededup.winnow(hashes, count)})
         assert picks[0] & picks[1]
+
+
+def plain_passages(rows, n=50):
+    """Words that stay, by brute force: a run of n words goes if the same run stands at an earlier place."""
+    seen, out = set(), {}
+    for d, t in sorted(rows):
+        w, gone = t.split(), set()
+        for i in range(len(w) - n + 1):
+            if (run := tuple(w[i:i + n])) in seen:
+                gone.update(range(i, i + n))
+            seen.add(run)
+        out[d] = [x for i, x in enumerate(w) if i not in gone]
+    return out
+
+
+def test_passages_inside_lines(spark):
+    r, rows = random.Random(21), []
+    passages = [prose(r.randint(51, 90), 7000 + i, 10**6) for i in range(6)]
+    for i in range(60):  # every passage begins and ends inside a line, and its lines are broken anew in every copy
+        words = f"{prose(r.randint(5, 40), 8000 + i, 10**6)} {r.choice(passages)} {prose(r.randint(5, 40), 9000 + i, 10**6)}".split()
+        width = 10 + i if i % 3 else 10**6
+        rows.append((i, "\n".join(" ".join(words[j:j + width]) for j in range(0, len(words), width)), "s"))
+    out = linededup.dedup_lines(spark.createDataFrame(rows, DOC)).collect()
+    want = plain_passages([(d, t) for d, t, _ in rows])
+    assert {x.doc_id: x.text.split() for x in out} == want
+    assert sum(len(t.split()) for _, t, _ in rows) - sum(x["__words_removed"] for x in out) == sum(map(len, want.values()))
