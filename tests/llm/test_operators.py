@@ -613,3 +613,18 @@ def test_passages_inside_lines(spark):
     want = plain_passages([(d, t) for d, t, _ in rows])
     assert {x.doc_id: x.text.split() for x in out} == want
     assert sum(len(t.split()) for _, t, _ in rows) - sum(x["__words_removed"] for x in out) == sum(map(len, want.values()))
+
+
+def test_first_place_that_ends_early(spark):
+    """The first holder of a fingerprint shares one line only; later documents share a longer run with each other."""
+    rows = []
+    for k in range(20):
+        one, two = prose(30, 20_000 + k, 10**6), prose(30, 21_000 + k, 10**6)
+        for c, lines in enumerate([[one], [one, two], [one, two]]):
+            ends = [prose(40, 22_000 + 10 * k + 3 * c + e, 10**6) for e in (0, 1)]
+            rows.append((3 * k + c, "\n".join([ends[0], *lines, ends[1]]), "s"))
+    out = {x.doc_id: x.text for x in linededup.dedup_lines(spark.createDataFrame(rows, DOC)).collect()}
+    for k in range(20):
+        one, two = prose(30, 20_000 + k, 10**6), prose(30, 21_000 + k, 10**6)
+        assert one in out[3 * k] and two in out[3 * k + 1]
+        assert one not in out[3 * k + 2] and two not in out[3 * k + 2]
