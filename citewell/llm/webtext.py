@@ -1,9 +1,10 @@
-"""Main text of web pages: structure of the page, and a suffix array over the pages of a host.
+"""Main text of web pages: structure of the page, and a repeated runs over the pages of a host.
 
 A page is read into blocks, each with the part of the page it stands in: main (inside article, else main), plain, or outside (menus, headers,
-footers, sidebars, notices, adverts, forms, comments). Pages of a host are put together in shards of bounded size; their token streams are
+footers, sidebars, notices, adverts, forms, comments). Pages of a host of bounded size are put together; their token streams are
 concatenated and their suffixes ordered by their first RUN tokens by prefix doubling. Suffixes that agree there are the long substrings
-that repeat; those that stand on several distinct pages cover boilerplate:
+that repeat. On a larger host the runs of RUN tokens are hashed and counted over all its pages by an aggregation instead, so the size of a
+host changes nothing. Runs that stand on several distinct pages cover boilerplate:
 
 * a plain block on a page without article or main goes if it is mostly covered;
 * blocks inside an article stay whatever repeats: mirrored articles and quoted passages are text.
@@ -22,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import internal
+from .common import internal, written
+from .linededup import _Hashes, word_runs
 
 RUN = 8
 LEAST_PAGES = 3
@@ -153,7 +155,7 @@ def blocks(page: str | None) -> list[tuple[str, int, float]]:
     return [(t, part, share) for t, part, share, _ in out]
 
 
-# ---- suffix array of a shard -------------------------------------------------------------------
+# ---- suffix array of a host -------------------------------------------------------------------
 
 
 def suffix_ranks(stream: np.ndarray, depth: int = RUN) -> np.ndarray:
@@ -178,7 +180,7 @@ def _spread(hit: np.ndarray, width: int = RUN) -> np.ndarray:
 
 
 def boilerplate(pages: list[list[tuple[str, int, float]]]) -> list[set[int]]:
-    """For each page of a shard the numbers of the blocks that repeated runs mark as boilerplate."""
+    """For each page of a host the numbers of the blocks that repeated runs mark as boilerplate."""
     gone: list[set[int]] = [set() for _ in pages]
     first: dict[tuple, int] = {}
     same: dict[int, int] = {}
@@ -237,19 +239,59 @@ def _parse(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"texts": [[b[0] for b in r] for r in rows], "parts": [[b[1] for b in r] for r in rows], "shares": [[b[2] for b in r] for r in rows]})
 
 
-def _shard(table: pa.Table) -> pa.Table:
+def _host(table: pa.Table) -> pa.Table:
     pages = [list(zip(t, p, s, strict=True)) for t, p, s in zip(*(table.column(c).to_pylist() for c in ("texts", "parts", "shares")), strict=True)]
     texts = [main_text(page, gone) for page, gone in zip(pages, boilerplate(pages), strict=True)]
     return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(texts, pa.string())})
 
 
+# ---- hosts of any size ---------------------------------------------------------------------------
+
+
+def _runs(s: pd.Series) -> pd.Series:
+    known = _Hashes()
+    return pd.Series([np.unique(word_runs(" ".join(t), (RUN,), known)[0]).view(np.int64) for t in s], dtype=object)
+
+
+def _marked(page: list[tuple[str, int, float]], runs: np.ndarray, known: dict[str, int]) -> set[int]:
+    """The numbers of the plain blocks that ``runs`` cover mostly."""
+    size = np.array([len(t.split()) for t, _, _ in page])
+    found = np.isin(word_runs(" ".join(t for t, _, _ in page), (RUN,), known)[0].view(np.int64), runs)
+    repeated = _spread(np.concatenate([found, np.zeros(size.sum() - len(found), dtype=bool)]))
+    bad = np.add.reduceat(repeated, np.cumsum(size) - size) * 10 >= size * 6
+    return {b for b in np.flatnonzero(bad).tolist() if page[b][1] == PLAIN}
+
+
+def _left(texts: pd.Series, parts: pd.Series, shares: pd.Series, runs: pd.Series) -> pd.Series:
+    known, out = _Hashes(), []
+    for t, p, s, r in zip(texts, parts, shares, runs, strict=True):
+        page = list(zip(t, p, s, strict=True))
+        out.append(main_text(page, _marked(page, r, known) if page and r is not None and len(r) else set()))
+    return pd.Series(out, dtype=object)
+
+
+def _large(parsed: DataFrame) -> DataFrame:
+    """page_id, url, text of the pages of large hosts. Runs are counted on hosts that have pages without a main part: only there they decide."""
+    pages = written(parsed.withColumn("key", F.xxhash64("texts", "parts", "shares")).withColumn(
+        "open", F.array_contains("parts", PLAIN) & ~F.array_contains("parts", MAIN)), "pages-large")
+    undecided = written(pages.filter("open").select("host").distinct(), "open-hosts")
+    undecided = F.broadcast(undecided) if undecided.count() <= 100_000 else undecided  # as above: large hosts only
+    streams = pages.join(undecided, "host", "left_semi").select("host", "key", "open", F.pandas_udf(_runs, "array<long>")("texts").alias("runs"))
+    marks = written(streams.dropDuplicates(["host", "key"]), "page-runs").select("host", "key", "open", F.explode("runs").alias("run"))
+    often = marks.groupBy("host", "run").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("some")).filter(F.col("some") & (F.col("n") >= LEAST_PAGES))
+    hits = marks.filter("open").join(often.select("host", "run"), ["host", "run"]).groupBy("host", "key").agg(F.collect_set("run").alias("runs"))
+    known = pages.filter("not open").withColumn("runs", F.lit(None).cast("array<long>"))
+    both = known.unionByName(pages.filter("open").join(hits, ["host", "key"], "left"))
+    return both.select("page_id", "url", F.pandas_udf(_left, "string")("texts", "parts", "shares", "runs").alias("text"))
+
+
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", shard_pages: int = SHARD_PAGES,
             shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """page_id, url, text, n_chars of every row.
 
     Null and empty pages have an empty text. Pages without a host form a host of their own. Repeated rows give repeated rows; an empty table gives no rows;
-    other columns are ignored. A host above ``shard_pages`` pages or ``shard_bytes`` bytes is dealt over shards by a hash of its pages: boilerplate stands
-    on most pages of a host, so every shard sees it, and no task ever holds a whole large host."""
+    other columns are ignored. The runs of a host above ``shard_pages`` pages or ``shard_bytes`` bytes are counted over all its pages by a shuffled
+    aggregation; no task ever holds a whole large host."""
     rows = internal(pages, page_id=page_id, url=url, html=page).withColumn(
         "host", F.lower(F.coalesce(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))))
     size = F.coalesce(F.octet_length("html"), F.lit(0))
@@ -257,12 +299,15 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
     hosts = hosts.select(F.col("host").alias("h"), F.ceil(F.greatest(F.col("n") / shard_pages, F.col("bytes") / shard_bytes)).alias("shards")).filter("shards > 1")
     # Large hosts only; beyond a fixed number of them they are joined by shuffle instead.
     hosts = F.broadcast(hosts) if hosts.count() <= 100_000 else hosts
-    placed = rows.join(hosts, F.col("host") == F.col("h"), "left").withColumn(
-        "shard", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("shards", F.lit(1))))
-    parsed = placed.select("page_id", "url", "host", "shard", F.pandas_udf(_parse, _PARSED)(F.coalesce("html", F.lit(""))).alias("p"))
-    parsed = parsed.select("page_id", "url", "host", "shard", "p.*")
+    placed = rows.join(hosts, F.col("host") == F.col("h"), "left")
+
+    def parsed(some: DataFrame) -> DataFrame:
+        found = some.select("page_id", "url", "host", F.pandas_udf(_parse, _PARSED)(F.coalesce("html", F.lit(""))).alias("p"))
+        return found.select("page_id", "url", "host", "p.*")
+
     kind = dict(rows.dtypes)["page_id"]
-    out = parsed.groupBy("host", "shard").applyInArrow(_shard, f"page_id {kind}, url string, text string")
+    out = parsed(placed.filter("h is null")).groupBy("host").applyInArrow(_host, f"page_id {kind}, url string, text string")
+    out = out.unionByName(_large(parsed(placed.filter("h is not null"))))
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 

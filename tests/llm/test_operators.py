@@ -222,6 +222,21 @@ def test_blocks_without_article_use_repetition(spark):
     assert webtext.extract(pages.limit(0)).count() == 0
 
 
+def test_repetition_counts_over_the_whole_host(spark):
+    """A notice on few pages of a large host, and the same pages as a small host: the size of the host decides nothing."""
+    notice = " ".join(LEXICON[40:60])
+    rows = []
+    for host, n in (("small", 40), ("large", 400)):
+        rows += [(i + 1000 * (host == "large"), f"http://{host}.example/{i}",
+                  f"<body><p>{prose(60, 600 + i)}</p>{f'<div>{notice}</div>' if i % 10 == 0 and i < 40 else ''}</body>") for i in range(n)]
+    rows += [(5000, "http://large.example/again", rows[-1][2]), (5001, "http://large.example/again", f"<body><article>{notice}</article></body>")]
+    out = {r.page_id: r.text for r in webtext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(400):
+        assert out[1000 + i] == " ".join(prose(60, 600 + i).split())
+        assert i >= 40 or out[i] == out[1000 + i]
+    assert out[5000] == out[1399] and out[5001] == notice and len(out) == len(rows)
+
+
 def test_repeated_runs_equal_plain_search():
     r = random.Random(6)
     stream = np.array([r.randrange(4) for _ in range(400)])
