@@ -28,9 +28,15 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
-    gone = neardup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near-duplicates: the one with the smallest doc_id, null ids last, then by a hash of the text. Rows that share
+    a doc_id, or have none, are rows of their own."""
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "near-dedup-rows")
+    groups = neardup.near_duplicates(rows, doc_id="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), F.col("__row").alias("row"))
+    groups = written(rows.select("__row", place.alias("place")).join(groups, "__row"), "near-dedup-groups")
+    first = groups.groupBy("component_id").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    gone = groups.join(first, "component_id").filter(F.col("__row") != F.col("first.row")).select("__row")
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,12 @@
 """The registered queries on the smallest tables, and the pipeline's stages one by one."""
 
+import random
+
 import corpus_pipeline
 from citewell.llm import mixing, quality
 from citewell.llm.common import table
 from citewell.llm.queries import registry
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.001"
@@ -44,3 +47,12 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
+
+
+def test_near_duplicates_go_by_row(spark):
+    r = random.Random(31)
+    one, two, three, four = (" ".join(f"w{r.randrange(10**6)}" for _ in range(60)) for _ in range(4))
+    rows = [(1, one), (2, one), (2, two), (3, three), (3, three), (None, four), (None, four), (None, one), (4, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = corpus_pipeline.without_near_duplicates(spark, docs, DATA).collect()
+    assert sorted(map(str, left)) == sorted(str(Row(doc_id=d, text=t)) for d, t in [(1, one), (2, two), (3, three), (None, four), (4, None), (4, "")])
