@@ -6,7 +6,7 @@ import importlib
 
 OPERATORS = (
     "mixing", "packing", "fingerprints", "linededup", "quality", "toxicity", "neardup", "vectors", "personal", "webtext",
-    "trie",
+    "trie", "bestfit", "resampling",
 )
 
 

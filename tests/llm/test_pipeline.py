@@ -10,7 +10,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.001"
-NAMES = {f"op{n}" for n in range(1, 11)}
+NAMES = {f"op{n}" for n in range(1, 14)}
 
 
 def test_registry_has_every_operator():
