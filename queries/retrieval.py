@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from citewell import params as P
 from citewell import session
 from citewell.functions import text
-from citewell.operators import approximate, index, search
+from citewell.operators import approximate, impact, index, quantized, search
 from queries.common import USER_TURNS, corpus, owners, sql_index_terms, sql_overlap, sql_terms, table, user_turns
 
 S = P.DEFAULTS
 DIM = 64
+SHORTLIST = 64  # full vectors that a query reads after the codes
 PROBES = 40  # of 64 cells: the supplied vectors have hardly any structure beyond close copies
 
 
@@ -150,6 +151,45 @@ def bm25_by_tenant(spark, d):
     return top.select("tenant_id", "qid", "chunk_id", F.col("rank").cast("long").alias("rank"), "score")
 
 
+def _impact(spark, d, queries, tenant):
+    """(queries, block tables of the terms they use, corpus sizes)."""
+    docs = session.written(index.with_terms(corpus(spark, d, tenant)).select("tenant_id", "chunk_id", "terms", "dl"), "terms")
+    queries = session.written(queries, "queries")
+    post, sizes = search.matching_postings(docs, search.query_terms(queries)), index.corpus_size(docs)
+    return queries, impact.build(post, sizes), sizes
+
+
+def bm25_block_max(spark, d):
+    """`bm25_topk` from posting blocks by impact: the same rows."""
+    top = impact.top_chunks(*_impact(spark, d, _benchmark_queries(spark, d), "all"), S.top_k)
+    return top.select("qid", "chunk_id", F.col("rank").cast("long").alias("rank"), "score")
+
+
+def bm25_block_max_by_tenant(spark, d):
+    """`bm25_by_tenant` from posting blocks by impact: the same rows."""
+    top = impact.top_chunks(*_impact(spark, d, _turn_queries(spark, d).select(*search.LIST, "terms"), "source"), S.candidates)
+    return top.select("tenant_id", "qid", "chunk_id", F.col("rank").cast("long").alias("rank"), "score")
+
+
+_FREQUENT = 0.1  # of the documents
+
+
+def block_max_reads(spark, d):
+    """Postings of frequent terms (in a tenth of the documents or more) that the benchmark passages hold, and whether the blocks read hold a tenth
+    of them or fewer."""
+    queries, tables, sizes = _impact(spark, d, _benchmark_queries(spark, d), "all")
+    _, cuts = impact.planned(queries, tables, sizes, S.top_k)
+    rows = impact.postings_read(cuts, tables).join(sizes, "tenant_id").filter(F.col("df") >= _FREQUENT * F.col("n"))
+    totals = rows.agg(F.count(F.lit(1)).alias("lists"), F.sum("df").alias("postings"), F.sum("read").alias("read"))
+    return totals.select("lists", "postings", (F.col("read") * 10 <= F.col("postings")).alias("tenfold"))
+
+
+BLOCK_MAX_READS = f"""WITH {_postings_sql("'all'")}, q AS (SELECT 'all' AS tenant_id, item_id::VARCHAR AS qid, {sql_index_terms('text')} AS terms FROM benchmark),
+qt AS (SELECT DISTINCT tenant_id, qid, unnest(terms) AS term FROM q)
+SELECT count(*)::BIGINT AS lists, sum(df)::BIGINT AS postings, true AS tenfold FROM qt JOIN frequency USING (tenant_id, term) JOIN sizes USING (tenant_id)
+WHERE df >= {_FREQUENT} * n"""
+
+
 _TURN_Q = f"q AS (SELECT tenant_id, qid, {sql_index_terms('question')} AS terms FROM {USER_TURNS} u)"
 BM25_TENANT = f"""WITH {_postings_sql('source')}, {_TURN_Q}, {_SPARSE_SQL}
 SELECT tenant_id, qid, chunk_id, rank, score FROM sparse WHERE rank < {S.candidates}"""
@@ -187,6 +227,40 @@ def approximate_recall(spark, d):
     return found.withColumn("vectors", F.lit(vec.count()))
 
 
+def _quantized(spark, d):
+    """Neighbours of every twentieth vector by quantised codes (found), by exact search (exact), and the vectors themselves."""
+    vec = table(spark, d, "embeddings").select("vec_id", "embedding")
+    asked = vec.filter("vec_id % 20 = 0")
+    model = quantized.fit(vec)
+    codes = session.written(quantized.coded(vec, model, "vec_id"), "codes")
+    found = quantized.search(asked, vec, codes, model, "vec_id", "vec_id", 10, SHORTLIST)
+    one = F.lit("all").alias("tenant_id")
+    exact = search.dense_search(asked.select(one, F.col("vec_id").cast("string").alias("qid"), F.lit(0).alias("subquery_no"), "embedding"),
+                                vec.select(one, F.col("vec_id").cast("string").alias("chunk_id"), "embedding"), 10)
+    return vec, found, exact.select(F.col("qid").cast("long").alias("qid"), F.col("chunk_id").cast("long").alias("id"))
+
+
+def quantized_neighbours(spark, d):
+    """Ten neighbours of every twentieth vector by quantised codes, with exact scores; ``exact`` tells those that exact search finds too."""
+    _, found, exact = _quantized(spark, d)
+    exact = exact.withColumn("exact", F.lit(True))
+    return found.join(exact, ["qid", "id"], "left").select("qid", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"),
+                                                           F.coalesce("exact", F.lit(False)).alias("exact"))
+
+
+def quantized_recall(spark, d):
+    """What quantised search finds of all exact ten neighbours (at least 0.9 of them), and how many full vectors a query reads for it (under 15 %)."""
+    vec, found, exact = _quantized(spark, d)
+    per = exact.join(found.select("qid", "id", F.lit(1).alias("hit")), ["qid", "id"], "left").groupBy("qid").agg(
+        F.count(F.lit(1)).alias("exact"), F.count("hit").alias("found"))
+    totals = per.agg(F.count(F.lit(1)).alias("queries"), F.sum("exact").alias("exact"), F.sum("found").alias("found"))
+    return totals.select("queries", "exact", (F.col("found") >= 0.9 * F.col("exact")).alias("recall_reached"), F.lit(SHORTLIST < 0.15 * vec.count()).alias("few_read"))
+
+
+QUANTIZED_RECALL = """SELECT count(*)::BIGINT AS queries, (count(*) * least(10, (SELECT count(*) FROM embeddings)))::BIGINT AS exact,
+ true AS recall_reached, true AS few_read FROM embeddings WHERE vec_id % 20 = 0"""
+
+
 def dense_label_purity(spark, d):
     """Every vector as a query: share of its nearest ten that carry its label. Uses the shuffled block search."""
     vec = table(spark, d, "embeddings").select(F.lit("t").alias("tenant_id"), F.col("vec_id").cast("string").alias("chunk_id"), "embedding", "label")
@@ -277,10 +351,15 @@ QUERIES = {
     "bm25_topk": (bm25_topk, BM25),
     "bm25_quality": (bm25_quality, QUALITY),
     "bm25_by_tenant": (bm25_by_tenant, BM25_TENANT),
+    "bm25_block_max": (bm25_block_max, BM25),
+    "bm25_block_max_by_tenant": (bm25_block_max_by_tenant, BM25_TENANT),
+    "block_max_reads": (block_max_reads, BLOCK_MAX_READS),
     "term_freq": (term_freq, TERM_FREQ),
     "doc_freq": (doc_freq, DOC_FREQ),
     "hash_embed": (hash_embed, HASH_EMBED),
     "approximate_recall": (approximate_recall, None),
+    "quantized_neighbours": (quantized_neighbours, None),
+    "quantized_recall": (quantized_recall, QUANTIZED_RECALL),
     "dense_topk": (dense_topk, DENSE),
     "dense_label_purity": (dense_label_purity, PURITY),
     "rrf_fuse": (rrf_fuse, RRF),
