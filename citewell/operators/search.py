@@ -214,8 +214,13 @@ def diversify(scored: DataFrame, questions: DataFrame | None = None, s: P.Settin
 def retrieve(questions: DataFrame, queries: DataFrame, tables: dict[str, DataFrame],
              reranker: Callable[[DataFrame], DataFrame] = lexical_reranker, s: P.Settings = P.DEFAULTS) -> DataFrame:
     """questions: tenant_id, qid, top_k, term_sets; queries: LIST + terms + embedding;
-    tables: chunks (with ``content``), postings, frequency, sizes, vectors."""
-    sparse = sparse_search(queries, tables["postings"], tables["frequency"], tables["sizes"], s.candidates)
+    tables: chunks (with ``content``), sizes, vectors, and either postings and frequency or the block tables of `impact`."""
+    if "blocks" in tables:
+        from citewell.operators import impact
+
+        sparse = impact.every_posting(queries, tables, tables["sizes"], s.candidates)
+    else:
+        sparse = sparse_search(queries, tables["postings"], tables["frequency"], tables["sizes"], s.candidates)
     dense = dense_search(queries, tables["vectors"], s.candidates)
     columns = [*LIST, "channel", "chunk_id", "rank"]
     ranked = sparse.withColumn("qid", F.col("qid").cast("string")).select(columns).unionByName(dense.select(columns))

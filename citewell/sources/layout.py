@@ -10,11 +10,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from citewell import params as P
 from citewell import session
+from citewell.operators import impact
 
 CHUNK = ("tenant_id", "chunk_id")
 TERM = ("tenant_id", "term")
-KEYS = {"blocks": (*TERM, "slice"), "slices": TERM, "term_stats": TERM, "forward": CHUNK, "body": CHUNK, "texts": CHUNK}
+KEYS = {"blocks": (*TERM, "slice"), "slices": TERM, "term_stats": TERM, "forward": CHUNK, "body": CHUNK, "chunks": CHUNK}
 
 
 def _columns(names: tuple[str, ...]) -> str:
@@ -37,6 +39,12 @@ def bucketed(df: DataFrame, name: str, keys: tuple[str, ...], buckets: int, path
     return spark.table(table)
 
 
+def searchable(tables: dict[str, DataFrame], s: P.Settings = P.DEFAULTS, buckets: int | None = None) -> dict[str, DataFrame]:
+    """The tables of `ingest.ingest` as searches want them: posting blocks, and what searches join stored by bucket."""
+    sizes = session.written(tables["sizes"], "sizes")
+    return co_located({**tables, "sizes": sizes, **impact.build(tables["postings"], sizes, s)}, buckets)
+
+
 def co_located(tables: dict[str, DataFrame], buckets: int | None = None) -> dict[str, DataFrame]:
     """``tables`` with all those of KEYS stored by bucket (default: as many as there are shuffle partitions)."""
     spark = next(iter(tables.values())).sparkSession
