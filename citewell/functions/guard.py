@@ -11,6 +11,43 @@ from citewell.functions import text
 UNICODE, UNICODE_NOCASE = "(?U)", "(?iUd)"
 
 
+# ---- gates -------------------------------------------------------------------------------------
+#
+# A pattern can only match a text that holds its literals. Substring searches tell in a fraction of a pattern's time that most texts hold
+# none, so patterns run on the few others. A gate lets every match through.
+
+
+def folded(c: Column) -> Column:
+    """Lower case, with the letters that patterns without case take for ASCII ones."""
+    return F.lower(F.translate(c, *P.FOLDED_LETTERS))
+
+
+def holds_one(c: Column, literals: tuple[str, ...]) -> Column:
+    out = F.contains(c, F.lit(literals[0]))
+    for literal in literals[1:]:
+        out = out | F.contains(c, F.lit(literal))
+    return out
+
+
+def may_fire(rule: str, low: Column) -> Column:
+    """Whether a `folded` text holds what the injection rule needs."""
+    first, *others = P.INJECTION_NEEDS[rule]
+    out = holds_one(low, first)
+    for group in others:
+        out = out & holds_one(low, group)
+    return out
+
+
+def may_hold(kind: str, c: Column, low: Column, digits: Column) -> Column:
+    """Whether a text holds what the redaction needs; ``digits``: whether it holds DIGIT_PAIR. No label holds any of it, so what holds for the
+    text as it came holds after other redactions too."""
+    if kind in P.REDACTION_NEEDS_DIGITS:
+        return digits
+    if kind in P.REDACTION_NEEDS_LOWER:
+        return holds_one(low, P.REDACTION_NEEDS_LOWER[kind])
+    return holds_one(c, P.REDACTION_NEEDS[kind])
+
+
 # ---- redaction ---------------------------------------------------------------------------------
 
 
@@ -37,9 +74,12 @@ def _redact_cards(c: Column, pattern: str, label: str) -> tuple[Column, Column]:
 def redact(df: DataFrame, column: str = "text", allow: tuple[str, ...] = (), counts: str = "redactions") -> DataFrame:
     """Replaces sensitive values of ``column`` by ``[REDACTED_TYPE]`` and adds ``counts``, a map of the types found.
 
-    The patterns run in order, each on the text the ones before it left. Counting comes first and a row is
-    only rewritten if something was found."""
+    The patterns run in order, each on the text the ones before it left, and only where the text may hold a match. Counting comes
+    first and a row is only rewritten if something was found."""
     steps = [(kind, pattern) for kind, pattern in P.REDACTIONS if kind not in allow]
+    raw = F.col(column)
+    df = text.computed(df, **{column: raw, "_low": folded(raw), "_digits": raw.rlike(UNICODE + P.DIGIT_PAIR)})
+    df = text.computed(df, _may=F.struct(*[may_hold(kind, raw, F.col("_low"), F.col("_digits")).alias(kind) for kind, _ in steps])).drop("_low", "_digits")
     for kind, pattern in steps:
         java = UNICODE + pattern
         label = f"[REDACTED_{kind}]"
@@ -48,10 +88,11 @@ def redact(df: DataFrame, column: str = "text", allow: tuple[str, ...] = (), cou
         else:
             rebuilt = F.regexp_replace(F.col(column), F.lit(java), F.lit(label))
             found = F.regexp_count(F.col(column), F.lit(java))
+        found = F.when(F.col("_may")[kind], found).when(F.col(column).isNotNull(), F.lit(0))
         df = df.withColumns({f"_n_{kind}": found, column: F.when(found > 0, rebuilt).otherwise(F.col(column))})
     entries = F.array(*[F.struct(F.lit(k).alias("key"), F.col(f"_n_{k}").cast("long").alias("value")) for k, _ in steps])
     found = F.map_from_entries(F.filter(entries, lambda e: e["value"] > 0))
-    return text.computed(df, **{column: F.col(column), counts: found}).drop(*[f"_n_{k}" for k, _ in steps])
+    return text.computed(df, **{column: F.col(column), counts: found}).drop("_may", *[f"_n_{k}" for k, _ in steps])
 
 
 def redaction_types(counts: Column) -> Column:
@@ -92,20 +133,21 @@ def injection_flags(df: DataFrame, column: str = "text", out: str = "injection",
     """Adds ``out``: struct<score double, flags array<string>> for the text, its collapsed form and its decoded
     payloads. Distinct flags combine as 1 - prod(1 - weight)."""
     df = df.withColumn("_plain", F.col(column)) if normalized else text.with_normalized(df, column, "_plain")
-    blobs = F.when(F.col("_plain").rlike(P.BASE64_PATTERN), decoded_payloads(F.col("_plain")))
-    df = df.withColumns({"_collapsed": collapsed(F.col("_plain")),
-                         "_payloads": F.coalesce(blobs, F.array().cast("array<string>"))})
-    differs = F.col("_collapsed") != F.col("_plain")
+    plain = F.col("_plain")
+    blobs = F.when(plain.rlike(P.BASE64_TEST), decoded_payloads(plain))
+    spaced = F.when(plain.rlike(UNICODE + P.SPACED_LETTERS_TEST), collapsed(plain))
+    df = text.computed(df, _plain=plain, _low=folded(plain), _collapsed=spaced, _payloads=F.coalesce(blobs, F.array().cast("array<string>")))
+    df = text.computed(df, _low_collapsed=folded(F.col("_collapsed")))
 
-    def fires(pattern: str) -> Column:
+    def fires(name: str, pattern: str) -> Column:
         java = UNICODE_NOCASE + pattern
         return (
-            F.col("_plain").rlike(java)
-            | (differs & F.col("_collapsed").rlike(java))
+            (may_fire(name, F.col("_low")) & plain.rlike(java))
+            | (F.col("_collapsed").isNotNull() & may_fire(name, F.col("_low_collapsed")) & F.col("_collapsed").rlike(java))
             | ((F.size("_payloads") > 0) & F.exists("_payloads", lambda p: p.rlike(java)))
         )
 
-    df = df.withColumns({f"_f_{name}": fires(pattern) for name, _, pattern in P.INJECTION_RULES})
+    df = df.withColumns({f"_f_{name}": fires(name, pattern) for name, _, pattern in P.INJECTION_RULES})
     any_rule = F.lit(False)
     for name, _, _ in P.INJECTION_RULES:
         any_rule = any_rule | F.col(f"_f_{name}")
@@ -116,7 +158,7 @@ def injection_flags(df: DataFrame, column: str = "text", out: str = "injection",
         remaining = remaining * F.when(F.col(f"_f_{name}"), F.lit(1 - weight)).otherwise(F.lit(1.0))
     flags = F.array_compact(F.array(*[F.when(F.col(f"_f_{n}"), n) for n in sorted(n for n, _ in weights)]))
     df = text.computed(df, **{out: F.struct(F.round(1 - remaining, 3).alias("score"), flags.alias("flags"))})
-    return df.drop("_plain", "_collapsed", "_payloads", *[f"_f_{n}" for n, _ in weights])
+    return df.drop("_plain", "_low", "_collapsed", "_low_collapsed", "_payloads", *[f"_f_{n}" for n, _ in weights])
 
 
 def is_harmful(c: Column) -> Column:
