@@ -19,7 +19,8 @@ UNICODE, UNICODE_NOCASE = "(?U)", "(?iUd)"
 
 def folded(c: Column) -> Column:
     """Lower case, with the letters that patterns without case take for ASCII ones."""
-    return F.lower(F.translate(c, *P.FOLDED_LETTERS))
+    odd, plain = P.FOLDED_LETTERS
+    return F.lower(F.when(holds_one(c, tuple(odd)), F.translate(c, odd, plain)).otherwise(c))
 
 
 def holds_one(c: Column, literals: tuple[str, ...]) -> Column:
@@ -29,10 +30,23 @@ def holds_one(c: Column, literals: tuple[str, ...]) -> Column:
     return out
 
 
-def may_fire(rule: str, low: Column) -> Column:
-    """Whether a `folded` text holds what the injection rule needs."""
+SHARED = tuple(sorted({lit for groups in P.INJECTION_NEEDS.values() for lit in groups[0]
+                       if sum(lit in groups[0] for groups in P.INJECTION_NEEDS.values()) > 1}))
+
+
+def shared_literals(low: Column) -> Column:
+    """Whether a `folded` text holds each literal that more than one rule asks for first."""
+    return F.struct(*[F.contains(low, F.lit(lit)).alias(lit) for lit in SHARED])
+
+
+def may_fire(rule: str, low: Column, shared: Column | None = None) -> Column:
+    """Whether a `folded` text holds what the injection rule needs; ``shared``: its `shared_literals`."""
     first, *others = P.INJECTION_NEEDS[rule]
-    out = holds_one(low, first)
+    own = [lit for lit in first if shared is None or lit not in SHARED]
+    known = [shared[lit] for lit in first if shared is not None and lit in SHARED]
+    out = F.lit(False)
+    for found in [*known, *[F.contains(low, F.lit(lit)) for lit in own]]:
+        out = out | found
     for group in others:
         out = out & holds_one(low, group)
     return out
@@ -137,12 +151,12 @@ def injection_flags(df: DataFrame, column: str = "text", out: str = "injection",
     blobs = F.when(plain.rlike(P.BASE64_TEST), decoded_payloads(plain))
     spaced = F.when(plain.rlike(UNICODE + P.SPACED_LETTERS_TEST), collapsed(plain))
     df = text.computed(df, _plain=plain, _low=folded(plain), _collapsed=spaced, _payloads=F.coalesce(blobs, F.array().cast("array<string>")))
-    df = text.computed(df, _low_collapsed=folded(F.col("_collapsed")))
+    df = text.computed(df, _low_collapsed=folded(F.col("_collapsed")), _shared=shared_literals(F.col("_low")))
 
     def fires(name: str, pattern: str) -> Column:
         java = UNICODE_NOCASE + pattern
         return (
-            (may_fire(name, F.col("_low")) & plain.rlike(java))
+            (may_fire(name, F.col("_low"), F.col("_shared")) & plain.rlike(java))
             | (F.col("_collapsed").isNotNull() & may_fire(name, F.col("_low_collapsed")) & F.col("_collapsed").rlike(java))
             | ((F.size("_payloads") > 0) & F.exists("_payloads", lambda p: p.rlike(java)))
         )
@@ -158,7 +172,7 @@ def injection_flags(df: DataFrame, column: str = "text", out: str = "injection",
         remaining = remaining * F.when(F.col(f"_f_{name}"), F.lit(1 - weight)).otherwise(F.lit(1.0))
     flags = F.array_compact(F.array(*[F.when(F.col(f"_f_{n}"), n) for n in sorted(n for n, _ in weights)]))
     df = text.computed(df, **{out: F.struct(F.round(1 - remaining, 3).alias("score"), flags.alias("flags"))})
-    return df.drop("_plain", "_low", "_collapsed", "_low_collapsed", "_payloads", *[f"_f_{n}" for n, _ in weights])
+    return df.drop("_plain", "_low", "_collapsed", "_low_collapsed", "_shared", "_payloads", *[f"_f_{n}" for n, _ in weights])
 
 
 def is_harmful(c: Column) -> Column:

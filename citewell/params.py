@@ -142,27 +142,26 @@ INJECTION_RULES = [
      r"\b(disable|turn off|remove|without)\b.{0,25}"
      r"\b(safety|guardrails?|filters?|restrictions?|censorship)"),
 ]
-# What a text must hold, in lower case, for a rule to fire: one literal of each group.
+# What a text must hold, in lower case, for a rule to fire: one literal of each group, the group that is cheapest to rule out first.
 INJECTION_NEEDS = {
     "ignore_instructions": [
-        ("ignore", "disregard", "forget", "override", "bypass"), ("previous", "prior", "above", "earlier", "all", "your", "system"),
-        ("instruction", "rule", "prompt", "directive", "guideline")],
+        ("instruction", "rule", "prompt", "directive", "guideline"), ("ignore", "disregard", "forget", "override", "bypass"),
+        ("previous", "prior", "above", "earlier", "all", "your", "system")],
     "reveal_system_prompt": [
-        ("reveal", "show", "print", "repeat", "output", "leak", "display", "tell me"), ("system", "hidden", "initial", "original"),
-        ("prompt", "instruction", "message", "rules")],
+        ("instruction", "rule", "prompt", "message"), ("system", "hidden", "initial", "original"),
+        ("reveal", "show", "print", "repeat", "output", "leak", "display", "tell me")],
     "role_override": [("you are now", "from now on", "act as", "pretend ", "roleplay as")],
-    "jailbreak_persona": [("dan", "do anything now", "developer mode", "jailbreak", "god mode", "unfiltered mode")],
-    "new_instructions": [("new", "updated", "real", "actual"), ("instruction", "system prompt", "rules"), (":", "-")],
+    "jailbreak_persona": [("dan", "do anything now", "developer", "jailbreak", "god mode", "unfiltered mode")],
+    "new_instructions": [("instruction", "rule", "prompt"), (":", "-"), ("new", "updated", "real", "actual")],
     "chat_template_tokens": [("<|", "[inst]", "<<sys>>")],
     "fake_role_header": [("system", "assistant", "developer"), (":", ">")],
     "exfiltration": [
-        ("send", "post", "upload", "exfiltrate", "forward"),
-        ("http://", "https://", "webhook", "email", "api key", "credentials", "secret")],
+        ("http", "webhook", "email", "api key", "credentials", "secret"), ("send", "post", "upload", "exfiltrate", "forward")],
     "markdown_image_exfil": [("![",), ("](http",), ("=",)],
     "tool_hijack": [
-        ("call", "invoke", "execute", "run"), ("tool", "function", "shell", "command", "sql"), ("delete", "drop", "rm -rf")],
+        ("delete", "drop", "rm -rf"), ("tool", "function", "shell", "command", "sql"), ("call", "invoke", "execute", "run")],
     "safety_disable": [
-        ("disable", "turn off", "remove", "without"), ("safety", "guardrail", "filter", "restriction", "censorship")],
+        ("safety", "guardrail", "filter", "restriction", "censorship"), ("disable", "turn off", "remove", "without")],
 }
 # The same for redactions, in the case that the text has; the four kinds below need two digits with at most a separator between.
 REDACTION_NEEDS = {
