@@ -60,17 +60,21 @@ def draw(row_id: Column, seed: str = SEED) -> Column:
 
 
 def mix(docs: DataFrame, weight: Column | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-        share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken, source, weight for every row of ``docs``.
+        share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED, row_id: str | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken, source, weight for every row of ``docs``, and its ``row_id`` (a distinct long), if one is named:
+    rows without doc_id then draw by it, and ties of all else go by it.
 
     taken counts the words that the mix takes, repeats included: epochs x size plus the part of the fraction.
     ``weight`` is over the columns ``doc_id``, ``text``, ``source`` (default: `quality`). Null text has size 0 and takes 0; a
     null source is a source of its own; null or non-positive weights sort last; ties of key go by doc_id, then size, and rows
     equal in all of these may share the border in any order. An empty table gives an empty result. Other columns are ignored."""
-    base = internal(docs, doc_id=doc_id, text=text, source=source)
+    own = {"row": row_id} if row_id else {}
+    base = internal(docs, doc_id=doc_id, text=text, source=source, **own)
     chosen = weight if weight is not None else quality("text")
-    rows = base.select("doc_id", "source", word_count(F.col("text")).alias("size"), chosen.cast("double").alias("weight"))
-    rows = rows.withColumn("key", F.when(F.col("weight") > 0, -F.ln(draw(F.col("doc_id"), seed)) / F.col("weight"))
+    rows = base.select("doc_id", "source", word_count(F.col("text")).alias("size"), chosen.cast("double").alias("weight"), *own)
+    drawn = F.col("doc_id").cast("string")
+    drawn = F.coalesce(drawn, F.concat(F.lit("row-"), F.col("row").cast("string"))) if own else drawn
+    rows = rows.withColumn("key", F.when(F.col("weight") > 0, -F.ln(draw(drawn, seed)) / F.col("weight"))
                            .otherwise(F.lit(float("inf"))))
     rows = written(rows, "mix-keys")
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"),
@@ -93,39 +97,35 @@ def mix(docs: DataFrame, weight: Column | None = None, doc_id: str = "doc_id", t
     small = border.count() <= 100_000  # one row per source at most
     placed = keyed.join(F.broadcast(border) if small else border, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     inside = placed.filter("bucket = last")
-    order = W.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_last(), "size")
+    order = W.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_last(), "size", *own)
     prefix = F.coalesce(F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.col("before")
     inside = inside.withColumn("part", F.least(F.col("size"), F.greatest(F.lit(0), F.col("budget") - prefix)))
     outside = placed.filter("last is null or bucket <> last").withColumn(
         "part", F.when(F.col("bucket") < F.col("last"), F.col("size")).otherwise(F.lit(0)))
     taken = F.col("epochs") * F.col("size") + F.col("part")
-    columns = ["doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", "weight"]
+    columns = ["doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", "weight", *own]
     return inside.select(*columns).unionByName(outside.select(*columns))
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The mix itself: rows of ``docs`` with all their columns, repeated for each epoch. A row on the border appears once more
-    with the words that it still gives; rows of size 0 stay once, since they cost nothing."""
-    plan = mix(docs, doc_id=doc_id, text=text, source=source, **options)
-    plan = plan.select(F.col("doc_id").alias("__mix_id"), F.col("size").alias("__mix_size"), F.col("source").alias("__mix_source"),
-                       F.col("taken").alias("__mix_taken"))
-    # Rows equal in id, source and size share one plan row, which then holds their joint words.
-    plan = plan.groupBy("__mix_id", "__mix_size", "__mix_source").agg(F.avg("__mix_taken").cast("long").alias("__mix_taken"))
-    words = word_count(F.col(f"`{text}`"))
-    joined = docs.withColumn("__size", words).join(
-        plan, F.col(f"`{doc_id}`").eqNullSafe(F.col("__mix_id")) & (F.col("__size") == F.col("__mix_size"))
-        & F.col(f"`{source}`").eqNullSafe(F.col("__mix_source")))
-    size, taken = F.col("__mix_size"), F.col("__mix_taken")
+    """The mix itself: rows of ``docs`` with all their columns, whatever their names, repeated for each epoch. A row on the border appears
+    once more with the words that it still gives; rows of size 0 stay once, since they cost nothing. Every row goes by itself, also where
+    doc_ids are null or repeated. An empty table gives no rows."""
+    named = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in named.items()]).withColumn("mix_row", F.monotonically_increasing_id())
+    rows = written(rows, "mix-rows")  # the row ids stay what they are
+    plan = mix(rows, doc_id=named[doc_id], text=named[text], source=named[source], row_id="mix_row", **options)
+    joined = rows.join(plan.select(F.col("row").alias("mix_row"), "size", "taken"), "mix_row")
+    size, taken = F.col("size"), F.col("taken")
     full = F.when(size > 0, F.floor(taken / size)).otherwise(F.lit(1)).cast("int")
     rest = F.when(size > 0, taken % size).otherwise(F.lit(0)).cast("int")
     copies = F.when(full > 0, F.array_repeat(F.lit(0), full)).otherwise(F.array().cast("array<int>"))
     copies = F.when(rest > 0, F.concat(copies, F.array(rest))).otherwise(copies)
-    out = joined.withColumn("__words", F.explode(copies))
-    out = out.withColumn(text, F.when(F.col("__words") > 0, _first_words(text)).otherwise(F.col(f"`{text}`")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = joined.withColumn("words", F.explode(copies))
+    cut = F.when(F.col("words") > 0, _first_words(F.col(named[text]), F.col("words"))).otherwise(F.col(named[text]))
+    return out.select(*[(cut if c == text else F.col(n)).alias(c) for c, n in named.items()])
 
 
-def _first_words(text: str) -> Column:
-    """The first __words words, joined by one space."""
-    words = F.filter(F.split(F.col(f"`{text}`"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return F.array_join(F.slice(words, 1, F.greatest(F.col("__words"), F.lit(1))), " ")
+def _first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.greatest(n, F.lit(1))), "")
