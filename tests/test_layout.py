@@ -63,7 +63,7 @@ def test_the_check_sees_an_exchange(spark, plain, stored, no_broadcast):
 def test_answers_are_the_same(spark, plain, stored):
     rows = [("a", f"q{i}", q, None) for i, q in enumerate(["Which team owns the Orders service?", "Who owns Rates and what does Parcels depend on?", "What is tungsten?"])]
     asked = spark.createDataFrame(rows, "tenant_id string, qid string, question string, top_k int")
-    want, got = ({r.qid: r for r in answer.answer(asked, t).collect()} for t in (plain, stored))
+    want, got = ({r.qid: r for r in answer.answer(asked, t).drop("trace", "latency_ms").collect()} for t in (plain, stored))
     assert got == want and any(r.citations for r in got.values())
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from citewell import params as P
 from citewell import schemas
+from citewell.operators import traffic
 from citewell.plans import answer, gate, ingest
 from citewell.sources import documents as source
 from citewell.streaming import ingest as continuous
@@ -69,10 +70,29 @@ def test_refusals_and_abstention(answers):
     assert out.answer == P.NO_ANSWER and out.plan.rewrites == 1 and out.plan.sub_queries == ["boiling point tungsten"] and out.confidence == 0 and out.grounded
 
 
+def test_answers_carry_their_steps(spark, answers):
+    steps = {q: [t.node for t in r.trace] for q, r in answers.items()}
+    assert steps["attack"] == steps["hello"] == ["input_guard"] and steps["factual"] == ["input_guard", "graph", "retrieve", "grade", "generate"]
+    assert steps["outside"] == ["input_guard", "graph", "retrieve", "rewrite", "retrieve_again", "grade", "generate"]
+    assert all(abs(r.latency_ms - sum(t.ms for t in r.trace)) < 1e-6 and all(t.ms > 0 for t in r.trace) for r in answers.values())
+    assert answers["attack"].n_relevant is None and answers["outside"].n_relevant == 0 and answers["factual"].n_relevant >= len(answers["factual"].citations) > 0
+
+
+def test_histograms_of_real_answers(spark, tables):
+    asked = spark.createDataFrame([("t1", q, text, None) for q, text in ASKED.items()], "tenant_id string, qid string, question string, top_k int")
+    got = answer.answer(asked, tables).cache()
+    relevant = {r.le: r.n for r in traffic.relevant_histogram(got.filter("n_relevant is not null")).collect()}
+    counts = [r.n_relevant for r in got.collect() if r.n_relevant is not None]
+    assert relevant["+Inf"] == len(counts) and all(relevant[str(b)] == sum(c <= b for c in counts) for b in P.RELEVANT_BUCKETS)
+    times = {(r.node, r.le): r.n for r in traffic.step_times(got).collect()}
+    assert times["input_guard", "+Inf"] == len(ASKED) and times["generate", "+Inf"] == len(counts)
+    got.unpersist()
+
+
 def test_gate(spark, tables):
     cases = [(ASKED["factual"], "orders", ["99.9"], None, None), (ASKED["pii"], "leave", ["planday"], None, None), (ASKED["outside"], None, [], True, None), (ASKED["attack"], None, [], None, True)]
     measured, rows = gate.evaluation_gate(spark.createDataFrame(cases, schemas.GOLDEN), tables, "t1")
-    assert measured.first().cases == 4 and all(r.passed for r in rows.collect())
+    assert measured.first().cases == 4 and 0 < measured.first().latency_p50_ms <= measured.first().latency_p95_ms and all(r.passed for r in rows.collect())
 
 
 def test_continuous_ingest_replays_are_harmless(spark, tmp_path):
