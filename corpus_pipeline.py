@@ -1,4 +1,7 @@
-"""Training-corpus pipeline: quality, line dedup, near-dedup, mixture, packing, each over all that the stage before kept."""
+"""Training-corpus pipeline: quality, line dedup, near-dedup, mixture, packing, each over all that the stage before kept.
+
+In every stage an empty table gives no rows, rows go by themselves (also where doc_ids are null or repeated), and further columns pass
+through unchanged up to packing, which ignores them."""
 
 from __future__ import annotations
 
@@ -15,14 +18,15 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the positive-unlabelled classifier does not reject."""
+    """Documents that the positive-unlabelled classifier does not reject. Null and empty texts are scored like any other; equal texts score alike."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     scored = docs.withColumn("__quality", quality.scored(docs, model))
     return scored.filter(F.col("__quality") >= quality.THRESHOLD).drop("__quality")
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later repeated runs of lines; a document that is nothing but such runs goes."""
+    """Texts without later repeated runs of lines; a document that is nothing but such runs goes. Null texts stay null and empty ones empty; rows
+    equal in doc_id and text are one document and stay alike (near-dedup leaves one of them)."""
     out = linededup.dedup_lines(docs).filter("not (coalesce(__removed, 0) > 0 and text = '')")
     return _measured(out.drop("__removed", "__words_removed", "__removed_lines"))
 
@@ -40,12 +44,14 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: documents repeated by epoch, the one on a source's border cut to its budget."""
+    """The mix of sources: documents repeated by epoch, the one on a source's border cut to its budget. Null texts have no words and stay once;
+    a null source is a source of its own; rows without doc_id draw by row; ties go by doc_id, size and row."""
     return _measured(mixing.mixed_documents(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens, each sequence with the mixture of the corpus."""
+    """Pieces of sequences of 2048 tokens, each sequence with the mixture of the corpus. Null and empty texts are one end token; null and repeated
+    doc_ids are packed row by row."""
     return packing.pack(docs)
 
 
