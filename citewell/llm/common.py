@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,8 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python workers in batches of BATCH_ROWS rows, unless the session has a limit of its own: ten times as many, Spark's
+    default, hold several copies of them outside the heap at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: computed once, kept in the folder that all executors share, read back column-pruned."""
+    small_batches(df.sparkSession)
     path = f"{work_dir(df.sparkSession)}/citewell-llm/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -30,6 +46,22 @@ def internal(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
+def slices(batch: pa.RecordBatch, rows: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of at most ``rows`` rows, cut earlier where their texts and lists reach ``most`` bytes; a row is never split."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+            size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        elif pa.types.is_list(c.type):
+            size += 8 * pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False)
+    total, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        full = int(np.searchsorted(total, (total[at - 1] if at else 0) + most)) + 1
+        end = max(at + 1, min(at + rows, full, batch.num_rows))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(id, component): the smallest id that each end of the ``a``-``b`` edges reaches. Ids without an edge are absent.
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import slices, written
 from .words import mix64
 
 GRAM_WORDS = 25
@@ -90,9 +90,9 @@ def _scan(gram_words: int, guarantee_words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
+            for part in slices(batch, 256):
                 rows = []
-                for d, h, t in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                for d, h, t in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     _, hashes, words = line_units(t)
                     if sum(words) >= guarantee_words:
                         marks = winnow(hashes, words, gram_words, guarantee_words)
@@ -116,9 +116,9 @@ def extend(later: list[int], first: list[int], i: int, j: int, same: bool) -> tu
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
+        for part in slices(batch, 256):
             ds, hs, out = [], [], []
-            for d, h, later, first, same, anchors in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+            for d, h, later, first, same, anchors in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 reached: dict[int, int] = {}
                 ranges = []
                 for a in sorted(anchors, key=lambda x: x["i"]):
@@ -202,8 +202,8 @@ def _marked(gram_words: int, guarantee_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                ids, hs, texts = batch.slice(at, 256).columns
+            for part in slices(batch, 256):
+                ids, hs, texts = part.columns
                 marks = []
                 for t in texts:
                     grams = word_runs(t.as_py(), (gram_words,), known)[0]
@@ -226,8 +226,8 @@ def _windows(gram_words: int, guarantee_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                ids, hs, texts, marks = batch.slice(at, 64).columns
+            for part in slices(batch, 64):
+                ids, hs, texts, marks = part.columns
                 hashes, places, counts = [], [], []
                 for t, m in zip(texts, marks, strict=True):
                     grams, whole = word_runs(t.as_py(), (gram_words, guarantee_words), known)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, internal, written
+from .common import components, internal, slices, written
 from .words import shingles, word_hashes
 
 SHINGLE_WORDS = 5
@@ -101,8 +101,8 @@ def _sets(texts: list[str], n: int) -> Iterator[tuple[int, np.ndarray]]:
 def _features(shingle_words: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                ids, texts = (c.to_pylist() for c in batch.slice(at, 512).columns)
+            for part in slices(batch, 512):
+                ids, texts = (c.to_pylist() for c in part.columns)
                 sets = [s for _, s in _sets(texts, shingle_words)]
                 full = [s for s in sets if len(s)]
                 keys = iter(band_keys(signatures(full, bands * rows), bands, rows).tolist() if full else ())
@@ -119,8 +119,8 @@ def _confirm(shingle_words: int, similarity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: tuple[int | None, np.ndarray | None] = (None, None)
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                a, b, ta, tb = (c.to_pylist() for c in batch.slice(at, 128).columns)
+            for part in slices(batch, 128):
+                a, b, ta, tb = (c.to_pylist() for c in part.columns)
                 left = [s for _, s in _sets(ta, shingle_words)]
                 good = []
                 for i, x in enumerate(left):
@@ -179,8 +179,8 @@ def _deltas(shingle_words: int, similarity: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                h, c, component, out, th, tc, common = (x.to_pylist() for x in batch.slice(at, 128).columns)
+            for part in slices(batch, 128):
+                h, c, component, out, th, tc, common = (x.to_pylist() for x in part.columns)
                 hubs, rows = {}, []
                 for i, (_, x) in enumerate(_sets(tc, shingle_words)):
                     if h[i] not in hubs:
@@ -269,10 +269,9 @@ def _texts(base: DataFrame, classes: DataFrame, mates: DataFrame, shingle_words:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                c = [_class(s) if len(s) else None for _, s in _sets(piece.column(1).to_pylist(), shingle_words)]
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(c, pa.int64()), piece.column(1)], names=["doc_id", "c", "text"])
+            for part in slices(batch, 256):
+                c = [_class(s) if len(s) else None for _, s in _sets(part.column(1).to_pylist(), shingle_words)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(c, pa.int64()), part.column(1)], names=["doc_id", "c", "text"])
 
     texts = candidates.mapInArrow(run, "doc_id long, c long, text string").join(needed, ["doc_id", "c"], "left_semi")
     return texts.select("c", "text").dropDuplicates(["c"])
