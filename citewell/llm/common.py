@@ -33,12 +33,45 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: computed once, kept in the folder that all executors share, read back column-pruned."""
-    small_batches(df.sparkSession)
-    path = f"{work_dir(df.sparkSession)}/citewell-llm/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut the lineage: computed once, kept in the folder that all executors share, read back column-pruned. What the job shuffled on the way is
+    removed once the table is complete."""
+    spark = df.sparkSession
+    small_batches(spark)
+    path = f"{work_dir(spark)}/citewell-llm/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*cuts: DataFrame) -> None:
+    """Delete the tables of ``written`` that nothing reads any more."""
+    for cut in cuts:
+        spark = cut.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(cut.written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+HOT_KEYS = 1000
+
+
+def meeting(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` with the columns of their row in ``keys``, a written table with one row a key and, in ``n``, how many rows have it. Keys of more than
+    one in HOT_KEYS of these rows, fewer than HOT_KEYS by that, are broadcast, so no task of the shuffled rest gets a hot key."""
+    total = keys.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hot = F.col("n") * HOT_KEYS > total
+    few = F.broadcast(keys.filter(hot))
+    rest = rows.join(few.select(*on), on, "left_anti").join(keys.filter(~hot), on)
+    return rows.join(few, on).unionByName(rest)
 
 
 def internal(df: DataFrame, **columns: str) -> DataFrame:

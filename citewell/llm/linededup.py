@@ -6,9 +6,10 @@ but the lines inside, so two documents that share a run of lines with ``guarante
 Fingerprints are joined by hash to their first position in the corpus only, never pair by pair. Each match is extended line by line in
 both directions, and the later run is deleted.
 
-Words: a passage may begin and end inside lines, and the first place of a fingerprint need not be the one that agrees longest. So every run of
-exactly ``guarantee_words`` words whose winnowed gram stands twice in the corpus is hashed, and every such run that stands earlier is deleted:
-a word goes if, and only if, one of the runs it lies in has an earlier copy anywhere. No pair of documents is compared.
+Words: a passage may begin and end inside lines, and the first place of a fingerprint need not be the one that agrees longest. So grams of words
+are winnowed too, and a chosen gram carries a hash of the words on both sides that a run of ``guarantee_words`` words around it can hold. It
+meets the first place with the same gram and surroundings; where a gram has several surroundings, the first place of each is compared run by
+run. A word goes if, and only if, one of the runs it lies in has an earlier copy anywhere. No pair of documents is compared.
 
 "Earlier" is the order of (doc_id, hash of the text, line or word), null ids last. A line is only deleted for a strictly earlier equal
 line and a word only in a run with a strictly earlier equal run, so the first copy always stays.
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import discard, meeting, slices, written
 from .words import mix64
 
 GRAM_WORDS = 25
@@ -144,8 +145,8 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", g
     units = written(units.dropDuplicates(["doc_id", "h"]), "line-units")
     marks = units.select("doc_id", "h", F.explode("marks").alias("m")).select("doc_id", "h", "m.g", "m.line")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h", "line")
-    first = marks.groupBy("g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    pairs = marks.join(first, "g").filter(place != F.col("first"))
+    first = written(marks.groupBy("g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "line-first")
+    pairs = meeting(marks, first, ["g"]).filter(place != F.col("first"))
     pairs = pairs.groupBy("doc_id", "h", F.col("first.doc_id").alias("fd"), F.col("first.h").alias("fh")).agg(
         F.collect_set(F.struct(F.col("line").alias("i"), F.col("first.line").alias("j"))).alias("anchors"))
     pairs = written(pairs, "line-pairs")
@@ -156,7 +157,9 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", g
     same = F.col("doc_id").eqNullSafe(F.col("fd")) & (F.col("h") == F.col("fh"))
     runs = both.select("doc_id", "h", "later", "first", same.alias("same"), "anchors").mapInArrow(
         _runs, "doc_id long, h long, ranges array<struct<s:int,e:int>>")
-    return runs.groupBy("doc_id", "h").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    found = written(runs.groupBy("doc_id", "h").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "line-ranges")
+    discard(units, first, pairs)
+    return found
 
 
 # ---- passages of words ---------------------------------------------------------------------------
@@ -172,13 +175,22 @@ class _Hashes(dict):
         return h
 
 
-def word_runs(text: str, sizes: tuple[int, ...], known: dict[str, int]) -> list[np.ndarray]:
-    """For each size the hashes of all runs of so many words, by their first word."""
+def _sums(text: str, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of the words' hashes times powers of a base, and the inverse powers: any run of words is hashed from two sums."""
     words = text.split()
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     sums = np.concatenate([np.zeros(1, np.uint64), (h * np.full(len(h), _BASE, np.uint64).cumprod()).cumsum()])
-    back = np.full(len(h), pow(_BASE, -1, 1 << 64), np.uint64).cumprod()
-    return [mix64((sums[k:] - sums[:-k]) * back[:len(h) - k + 1]) if len(h) >= k else np.empty(0, np.uint64) for k in sizes]
+    return sums, np.full(len(h), pow(_BASE, -1, 1 << 64), np.uint64).cumprod()
+
+
+def _of_size(sums: np.ndarray, back: np.ndarray, k: int) -> np.ndarray:
+    return mix64((sums[k:] - sums[:-k]) * back[:len(back) - k + 1]) if len(back) >= k else np.empty(0, np.uint64)
+
+
+def word_runs(text: str, sizes: tuple[int, ...], known: dict[str, int]) -> list[np.ndarray]:
+    """For each size the hashes of all runs of so many words, by their first word."""
+    sums, back = _sums(text, known)
+    return [_of_size(sums, back, k) for k in sizes]
 
 
 def _slide(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
@@ -196,46 +208,64 @@ def _picks(grams: np.ndarray, width: int) -> np.ndarray:
     return _slide(grams, width, np.minimum) if len(grams) >= width else np.empty(0, np.uint64)
 
 
-def _marked(gram_words: int, guarantee_words: int):
-    width = guarantee_words - gram_words + 1
+def _chosen(grams: np.ndarray, width: int) -> np.ndarray:
+    """Places of the grams that are the smallest of some ``width`` grams in a row."""
+    picks = _picks(grams, width)
+    if not len(picks):
+        return np.empty(0, np.int64)
+    edge = np.zeros(width - 1, np.uint64)
+    return np.flatnonzero(_slide(np.concatenate([edge, picks, edge]), width, np.maximum) == grams)
 
+
+def word_marks(text: str, gram_words: int, guarantee_words: int, known: dict[str, int]) -> tuple[np.ndarray, ...]:
+    """The chosen grams of a text: hash, hash of the surroundings, place, and the last start of a run of ``guarantee_words`` words that holds
+    the gram. The surroundings are all words of such runs, less where the text begins or ends within them."""
+    sums, back = _sums(text, known)
+    grams = _of_size(sums, back, gram_words)
+    at = _chosen(grams, guarantee_words - gram_words + 1)
+    lo, hi = np.maximum(at - (guarantee_words - gram_words), 0), np.minimum(at + guarantee_words, len(back))
+    around = mix64((sums[hi] - sums[lo]) * back[lo]) if len(at) else np.empty(0, np.uint64)
+    shape = ((at - lo) * (guarantee_words + 1) + hi - at).astype(np.uint64)
+    return grams[at], mix64(around + shape * np.uint64(_BASE)), at, np.minimum(at, len(back) - guarantee_words)
+
+
+_MARKS = "doc_id long, h long, marks array<struct<g:long,c:long,at:int,last:int>>"
+
+
+def _marked(gram_words: int, guarantee_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for batch in batches:
             for part in slices(batch, 256):
                 ids, hs, texts = part.columns
-                marks = []
-                for t in texts:
-                    grams = word_runs(t.as_py(), (gram_words,), known)[0]
-                    picks = _picks(grams, width)
-                    if len(picks):
-                        edge = np.zeros(width - 1, np.uint64)
-                        chosen = grams[_slide(np.concatenate([edge, picks, edge]), width, np.maximum) == grams]
-                        found, n = np.unique(chosen, return_counts=True)
-                        marks.append(np.repeat(found, np.minimum(n, 2)).view(np.int64))
-                    else:
-                        marks.append(np.empty(0, np.int64))
-                yield pa.RecordBatch.from_arrays([ids, hs, pa.array(marks, pa.list_(pa.int64()))], names=["doc_id", "h", "marks"])
+                found = [word_marks(t.as_py(), gram_words, guarantee_words, known) for t in texts]
+                g, c, at, last = (np.concatenate(x) for x in zip(*found, strict=True))
+                marks = pa.StructArray.from_arrays([pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(at.astype(np.int32)),
+                                                    pa.array(last.astype(np.int32))], names=["g", "c", "at", "last"])
+                ends = np.cumsum([0, *(len(x[0]) for x in found)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([ids, hs, pa.ListArray.from_arrays(pa.array(ends), marks)], names=["doc_id", "h", "marks"])
 
     return run
 
 
 def _windows(gram_words: int, guarantee_words: int):
-    width = guarantee_words - gram_words + 1
+    reach = np.arange(guarantee_words - gram_words + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for batch in batches:
             for part in slices(batch, 64):
                 ids, hs, texts, marks = part.columns
-                hashes, places, counts = [], [], []
+                hashes, places = [], []
                 for t, m in zip(texts, marks, strict=True):
-                    grams, whole = word_runs(t.as_py(), (gram_words, guarantee_words), known)
-                    place = np.flatnonzero(np.isin(_picks(grams, width), np.array(m.as_py(), dtype=np.int64).view(np.uint64)))
+                    whole = word_runs(t.as_py(), (guarantee_words,), known)[0]
+                    here = np.zeros(len(whole), dtype=bool)
+                    starts = np.subtract.outer(np.array(m.as_py(), dtype=np.int64), reach)
+                    here[starts[(starts >= 0) & (starts < len(whole))]] = True
+                    place = np.flatnonzero(here)
                     hashes.append(whole[place].view(np.int64))
                     places.append(place.astype(np.int32))
-                    counts.append(len(place))
-                row = pa.array(np.repeat(np.arange(len(counts)), counts))
+                row = pa.array(np.repeat(np.arange(len(places)), [len(x) for x in places]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), ids.take(row), hs.take(row), pa.array(np.concatenate(places))],
                                                  names=["w", "doc_id", "h", "at"])
 
@@ -244,32 +274,46 @@ def _windows(gram_words: int, guarantee_words: int):
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gram_words: int = GRAM_WORDS,
                       guarantee_words: int = GUARANTEE_WORDS) -> DataFrame:
-    """(doc_id, h, starts): the first words of all runs of ``guarantee_words`` words of a document that stand earlier; h is xxhash64 of the text."""
+    """(doc_id, h, starts): ranges of first words (both ends included) of all runs of ``guarantee_words`` words of a document that stand earlier; h is
+    xxhash64 of the text.
+
+    A chosen gram meets the first place with the same gram in the same surroundings: all runs around it stand there. The first place of each
+    surroundings is left; if its gram has others too, they may agree in part, and the at most ``guarantee_words - gram_words + 1`` runs around it
+    meet by their own hashes. So every run with an earlier copy is found, and copies cost no row for each run."""
     guarantee_words = max(gram_words, guarantee_words)
     base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("h"), F.col(f"`{text}`").alias("text"))
     base = base.filter("text is not null")
-    marks = base.mapInArrow(_marked(gram_words, guarantee_words), "doc_id long, h long, marks array<long>").filter("size(marks) > 0")
-    marks = written(marks, "word-marks").select("doc_id", "h", F.explode("marks").alias("g"))
-    twice = marks.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    some = marks.join(twice, "g").groupBy(F.col("doc_id").alias("d"), F.col("h").alias("dh")).agg(F.collect_set("g").alias("marks"))
-    both = base.join(some, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("dh"))).select("doc_id", "h", "text", "marks")
-    windows = written(both.mapInArrow(_windows(gram_words, guarantee_words), "w long, doc_id long, h long, at int"), "word-windows")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h", "at")
-    first = windows.groupBy("w").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    later = windows.join(first, "w").filter(place != F.col("first"))
-    return later.groupBy("doc_id", "h").agg(F.collect_set("at").alias("starts"))
+    every = written(base.mapInArrow(_marked(gram_words, guarantee_words), _MARKS).filter("size(marks) > 0"), "word-marks")
+    marks = every.select("doc_id", "h", F.inline("marks"))
+    grams = written(marks.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "word-grams")
+    twice = written(meeting(marks, grams, ["g"]).drop("n"), "word-marks-twice")
+    discard(every, grams)
+    around = written(twice.groupBy("g", "c").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "word-surroundings")
+    same = meeting(twice, around.filter("n > 1"), ["g", "c"]).filter(place != F.col("first"))
+    same = same.select("doc_id", "h", F.greatest(F.lit(0), F.col("at") - (guarantee_words - gram_words)).alias("s"), F.col("last").alias("e"))
+    several = written(around.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "word-several")
+    parts = meeting(around.drop("n"), several, ["g"]).groupBy(F.col("first.doc_id").alias("d"), F.col("first.h").alias("dh")).agg(
+        F.collect_set("first.at").alias("marks"))
+    both = base.join(parts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("dh"))).select("doc_id", "h", "text", "marks")
+    windows = written(both.mapInArrow(_windows(gram_words, guarantee_words), "w long, doc_id long, h long, at int"), "word-windows")
+    first = written(windows.groupBy("w").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "word-first")
+    partly = meeting(windows, first, ["w"]).filter(place != F.col("first")).select("doc_id", "h", F.col("at").alias("s"), F.col("at").alias("e"))
+    found = written(same.unionByName(partly).groupBy("doc_id", "h").agg(F.collect_set(F.struct("s", "e")).alias("starts")), "word-ranges")
+    discard(twice, around, several, windows, first)
+    return found
 
 
 def _covered(starts: list, lines: list[tuple[int, int]], n_words: int, guarantee_words: int) -> np.ndarray:
-    """Which words lie in the runs that begin at ``starts`` or in ``lines``, the words of repeated runs of lines. Where a repeated run of lines with
+    """Which words lie in the runs that begin within ``starts`` or in ``lines``, the words of repeated runs of lines. Where a repeated run of lines with
     ``guarantee_words`` words ends at a line break in both copies, fewer than EDGE_WORDS words beyond it agree by chance and stay."""
     cover = np.zeros(n_words, dtype=bool)
     runs: list[list[int]] = []
-    for s in sorted(starts):
+    for s, e in sorted(starts):
         if runs and s <= runs[-1][1]:
-            runs[-1][1] = s + guarantee_words
+            runs[-1][1] = max(runs[-1][1], e + guarantee_words)
         else:
-            runs.append([s, s + guarantee_words])
+            runs.append([s, e + guarantee_words])
     whole = sorted({(a, b) for a, b in lines if b - a >= guarantee_words})
     left, right = [a for a, _ in whole], sorted(b for _, b in whole)
     for s, e in runs:
@@ -298,11 +342,11 @@ def _cut(line: str, cover: np.ndarray) -> str:
 
 
 def without(text: str, ranges: list, starts: list, guarantee_words: int = GUARANTEE_WORDS) -> tuple[str, int, int, str]:
-    """The text without the units in ``ranges`` and the runs of words at ``starts``; units deleted whole and words deleted; the deleted
+    """The text without the units in ``ranges`` and the runs of words that begin within ``starts``; units deleted whole and words deleted; the deleted
     line numbers as ``first-last`` runs."""
     at, _, words = line_units(text)
     first = np.concatenate([[0], np.cumsum(words)]).astype(int)
-    cover = _covered(starts, [(first[r["s"]], first[r["e"]]) for r in ranges], sum(words), guarantee_words)
+    cover = _covered([(r["s"], r["e"]) for r in starts], [(first[r["s"]], first[r["e"]]) for r in ranges], sum(words), guarantee_words)
     gone = [u for u in range(len(at)) if cover[first[u]:first[u + 1]].all()]
     drop = {at[u] for u in gone}
     for a, b in zip(gone, gone[1:], strict=False):
@@ -327,7 +371,7 @@ CLEANED = "struct<text:string,n_removed:long,words_removed:long,removed:string>"
 
 def _cleaner(guarantee_words: int):
     def clean(text: pd.Series, ranges: pd.Series, starts: pd.Series) -> pd.DataFrame:
-        rows = [(None, 0, 0, "") if t is None or r is None or not len(r) + len(s) else without(t, r, list(s), guarantee_words)
+        rows = [(None, 0, 0, "") if t is None or r is None or not len(r) + len(s) else without(t, r, s, guarantee_words)
                 for t, r, s in zip(text, ranges, starts, strict=True)]
         return pd.DataFrame(rows, columns=["text", "n_removed", "words_removed", "removed"])
 
@@ -344,7 +388,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gra
     Null texts stay null and empty ones empty; a document whose lines are all repeated becomes empty. Rows equal in doc_id and text are one
     document and stay alike; rows that share only the doc_id are two, in order of a hash of their text. Null doc_ids come last. An empty table gives
     no rows. Texts shorter than ``guarantee_words`` words neither lose nor lend lines. Other columns pass through, whatever their names."""
-    runs = repeated_runs(docs, doc_id, text, gram_words, guarantee_words).withColumn("starts", F.lit(None).cast("array<int>"))
+    runs = repeated_runs(docs, doc_id, text, gram_words, guarantee_words).withColumn("starts", F.lit(None).cast("array<struct<s:int,e:int>>"))
     passages = repeated_passages(docs, doc_id, text, gram_words, guarantee_words).withColumn("ranges", F.lit(None).cast(runs.schema["ranges"].dataType))
     runs = runs.unionByName(passages).groupBy(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).agg(
         F.flatten(F.collect_list("ranges")).alias("__ranges"), F.flatten(F.collect_list("starts")).alias("__starts"))

@@ -643,3 +643,33 @@ def test_first_place_that_ends_early(spark):
         one, two = prose(30, 20_000 + k, 10**6), prose(30, 21_000 + k, 10**6)
         assert one in out[3 * k] and two in out[3 * k + 1]
         assert one not in out[3 * k + 2] and two not in out[3 * k + 2]
+
+
+def test_surroundings_that_agree_in_part(spark):
+    """Random cuts of a few sources, with words that repeat within a document: every run of 50 words with an earlier copy goes, no other word."""
+    r, rows = random.Random(31), []
+    sources = [prose(300, 30_000 + k, 10**6).split() for k in range(3)] + [["again"] * 200, (prose(7, 30_010, 10**6) + " ").split() * 30]
+    for i in range(70):
+        words = []
+        for _ in range(r.randint(1, 4)):
+            source = r.choice(sources)
+            a = r.randrange(len(source) - 40)
+            words += source[a:a + r.randint(30, 160)] + prose(r.randint(0, 6), r.randrange(10**6), 10**6).split()
+        if i % 5 == 0:
+            words[len(words) // 2] = f"edit{i}"
+        rows.append((i, " ".join(words), "s"))
+    out = linededup.dedup_lines(spark.createDataFrame(rows, DOC)).collect()
+    assert {x.doc_id: x.text.split() for x in out} == plain_passages([(d, t) for d, t, _ in rows])
+
+
+def test_meeting_splits_hot_keys(spark):
+    """Hot and rare keys give the rows of the plain join."""
+    from citewell.llm.common import discard, meeting, written
+    rows = spark.createDataFrame([(k if i % 3 else 0, i) for i, k in enumerate(range(9000))], "g long, i int")
+    keys = written(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("first")), "test-keys")
+    got = meeting(rows, keys, ["g"])
+    assert got.columns == ["g", "i", "n", "first"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(keys, "g").collect()))
+    discard(keys)
+    with pytest.raises(Exception):
+        keys.count()
