@@ -33,21 +33,26 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_CLEANUP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+_HASH_JOINS = {"spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB"}
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, hash_joins: bool = False) -> DataFrame:
     """Cut the lineage: computed once, kept in the folder that all executors share, read back column-pruned. What the job shuffled on the way is
-    removed once the table is complete."""
+    removed once the table is complete. With ``hash_joins`` a shuffled join hashes its smaller side instead of sorting both, if no partition of
+    that side, as measured when it is written, is over 64 MB."""
     spark = df.sparkSession
     small_batches(spark)
     path = f"{work_dir(spark)}/citewell-llm/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    settings = _CLEANUP | _HASH_JOINS if hash_joins else _CLEANUP
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
@@ -64,14 +69,20 @@ def discard(*cuts: DataFrame) -> None:
 HOT_KEYS = 1000
 
 
-def meeting(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """``rows`` with the columns of their row in ``keys``, a written table with one row a key and, in ``n``, how many rows have it. Keys of more than
-    one in HOT_KEYS of these rows, fewer than HOT_KEYS by that, are broadcast, so no task of the shuffled rest gets a hot key."""
+def split_hot(keys: DataFrame, *on: str) -> tuple[DataFrame, DataFrame]:
+    """``keys``, a written table with one row a key and in ``n`` how many rows have it, as the keys of more than one in HOT_KEYS of these rows, fewer
+    than HOT_KEYS by that, and all others. Both without ``n``, or with all columns if ``on`` is empty."""
     total = keys.agg(F.sum("n").alias("n")).first()["n"] or 0
     hot = F.col("n") * HOT_KEYS > total
-    few = F.broadcast(keys.filter(hot))
-    rest = rows.join(few.select(*on), on, "left_anti").join(keys.filter(~hot), on)
-    return rows.join(few, on).unionByName(rest)
+    columns = on or keys.columns
+    return keys.filter(hot).select(*columns), keys.filter(~hot).select(*columns)
+
+
+def meeting(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` with the columns of their row in ``keys`` (as in `split_hot`): hot keys are broadcast, so no task of the shuffled rest gets one."""
+    few, many = split_hot(keys)
+    rest = rows.join(F.broadcast(few.select(*on)), on, "left_anti").join(many, on)
+    return rows.join(F.broadcast(few), on).unionByName(rest)
 
 
 def internal(df: DataFrame, **columns: str) -> DataFrame:

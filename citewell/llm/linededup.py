@@ -21,22 +21,28 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import deque
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, meeting, slices, written
+from .common import discard, meeting, slices, split_hot, written
 from .words import mix64
 
 GRAM_WORDS = 25
+PASSAGE_GRAM_WORDS = 16  # grams inside lines; shorter ones are fewer to choose, longer ones stand twice by chance less often
 GUARANTEE_WORDS = 50
 EDGE_WORDS = 4  # fewer words agree by chance before or after a run of whole lines
 _BASE = 0x9E3779B97F4A7C15
 _KNOWN_WORDS = 1 << 18
+_TABLE = 1 << 18  # powers kept; longer texts compute theirs
+_SLICE = 1 << 20  # bytes of text worked on at once
 
 
 def line_units(text: str) -> tuple[list[int], list[int], list[int]]:
@@ -175,12 +181,24 @@ class _Hashes(dict):
         return h
 
 
-def _sums(text: str, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Running sums of the words' hashes times powers of a base, and the inverse powers: any run of words is hashed from two sums."""
-    words = text.split()
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    sums = np.concatenate([np.zeros(1, np.uint64), (h * np.full(len(h), _BASE, np.uint64).cumprod()).cumsum()])
-    return sums, np.full(len(h), pow(_BASE, -1, 1 << 64), np.uint64).cumprod()
+@cache
+def _table() -> tuple[np.ndarray, np.ndarray]:
+    return _power_tables(_TABLE)
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.full(n, _BASE, np.uint64).cumprod(), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64).cumprod()
+
+
+def _sums(words: list[list[str]], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Over the words of several texts in a row: running sums of their hashes times powers of a base, and the inverse powers. Any run of words
+    is hashed from two sums, and alike wherever it stands."""
+    n = sum(map(len, words))
+    h = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.uint64, n)
+    forth, back = _table() if n <= _TABLE else _power_tables(n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(h * forth[:n], out=sums[1:])
+    return sums, back[:n]
 
 
 def _of_size(sums: np.ndarray, back: np.ndarray, k: int) -> np.ndarray:
@@ -189,7 +207,7 @@ def _of_size(sums: np.ndarray, back: np.ndarray, k: int) -> np.ndarray:
 
 def word_runs(text: str, sizes: tuple[int, ...], known: dict[str, int]) -> list[np.ndarray]:
     """For each size the hashes of all runs of so many words, by their first word."""
-    sums, back = _sums(text, known)
+    sums, back = _sums([text.split()], known)
     return [_of_size(sums, back, k) for k in sizes]
 
 
@@ -203,30 +221,27 @@ def _slide(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return x
 
 
-def _picks(grams: np.ndarray, width: int) -> np.ndarray:
-    """The smallest gram hash of every ``width`` grams in a row."""
-    return _slide(grams, width, np.minimum) if len(grams) >= width else np.empty(0, np.uint64)
-
-
-def _chosen(grams: np.ndarray, width: int) -> np.ndarray:
-    """Places of the grams that are the smallest of some ``width`` grams in a row."""
-    picks = _picks(grams, width)
-    if not len(picks):
-        return np.empty(0, np.int64)
-    edge = np.zeros(width - 1, np.uint64)
-    return np.flatnonzero(_slide(np.concatenate([edge, picks, edge]), width, np.maximum) == grams)
-
-
-def word_marks(text: str, gram_words: int, guarantee_words: int, known: dict[str, int]) -> tuple[np.ndarray, ...]:
-    """The chosen grams of a text: hash, hash of the surroundings, place, and the last start of a run of ``guarantee_words`` words that holds
-    the gram. The surroundings are all words of such runs, less where the text begins or ends within them."""
-    sums, back = _sums(text, known)
+def word_marks(texts: list[str], gram_words: int, guarantee_words: int, known: dict[str, int]) -> tuple[np.ndarray, ...]:
+    """The chosen grams of texts: number of the text, hash, hash of the surroundings, place, and the last start of a run of ``guarantee_words``
+    words that holds the gram. A gram is chosen if it has the smallest hash in one of these runs. Its surroundings are all words of such runs
+    around it, fewer where the text begins or ends within them."""
+    words, width = [t.split() for t in texts], guarantee_words - gram_words + 1
+    sums, back = _sums(words, known)
+    sizes = np.array([len(w) for w in words])
+    ends = np.cumsum(sizes)
+    if len(back) < guarantee_words:
+        return (np.empty(0, np.int64), *[np.empty(0, np.uint64)] * 2, *[np.empty(0, np.int64)] * 2)
     grams = _of_size(sums, back, gram_words)
-    at = _chosen(grams, guarantee_words - gram_words + 1)
-    lo, hi = np.maximum(at - (guarantee_words - gram_words), 0), np.minimum(at + guarantee_words, len(back))
-    around = mix64((sums[hi] - sums[lo]) * back[lo]) if len(at) else np.empty(0, np.uint64)
+    left = np.repeat(ends, sizes) - np.arange(len(back))  # words from here to the end of the text
+    picks = np.where(left[:len(back) - guarantee_words + 1] >= guarantee_words, _slide(grams, width, np.minimum), np.uint64(0))
+    edge = np.zeros(width - 1, np.uint64)
+    at = np.flatnonzero(_slide(np.concatenate([edge, picks, edge]), width, np.maximum) == grams)
+    text = np.searchsorted(ends, at, side="right")
+    begin, end = (ends - sizes)[text], ends[text]
+    lo, hi = np.maximum(at - width + 1, begin), np.minimum(at + guarantee_words, end)
+    around = mix64((sums[hi] - sums[lo]) * back[lo])
     shape = ((at - lo) * (guarantee_words + 1) + hi - at).astype(np.uint64)
-    return grams[at], mix64(around + shape * np.uint64(_BASE)), at, np.minimum(at, len(back) - guarantee_words)
+    return text, grams[at], mix64(around + shape * np.uint64(_BASE)), at - begin, np.minimum(at, end - guarantee_words) - begin
 
 
 _MARKS = "doc_id long, h long, marks array<struct<g:long,c:long,at:int,last:int>>"
@@ -236,13 +251,12 @@ def _marked(gram_words: int, guarantee_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for batch in batches:
-            for part in slices(batch, 256):
+            for part in slices(batch, 256, _SLICE):
                 ids, hs, texts = part.columns
-                found = [word_marks(t.as_py(), gram_words, guarantee_words, known) for t in texts]
-                g, c, at, last = (np.concatenate(x) for x in zip(*found, strict=True))
+                text, g, c, at, last = word_marks(texts.to_pylist(), gram_words, guarantee_words, known)
                 marks = pa.StructArray.from_arrays([pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(at.astype(np.int32)),
                                                     pa.array(last.astype(np.int32))], names=["g", "c", "at", "last"])
-                ends = np.cumsum([0, *(len(x[0]) for x in found)]).astype(np.int32)
+                ends = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([ids, hs, pa.ListArray.from_arrays(pa.array(ends), marks)], names=["doc_id", "h", "marks"])
 
     return run
@@ -254,53 +268,71 @@ def _windows(gram_words: int, guarantee_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for batch in batches:
-            for part in slices(batch, 64):
+            for part in slices(batch, 256, _SLICE):
                 ids, hs, texts, marks = part.columns
-                hashes, places = [], []
-                for t, m in zip(texts, marks, strict=True):
-                    whole = word_runs(t.as_py(), (guarantee_words,), known)[0]
-                    here = np.zeros(len(whole), dtype=bool)
-                    starts = np.subtract.outer(np.array(m.as_py(), dtype=np.int64), reach)
-                    here[starts[(starts >= 0) & (starts < len(whole))]] = True
-                    place = np.flatnonzero(here)
-                    hashes.append(whole[place].view(np.int64))
-                    places.append(place.astype(np.int32))
-                row = pa.array(np.repeat(np.arange(len(places)), [len(x) for x in places]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), ids.take(row), hs.take(row), pa.array(np.concatenate(places))],
-                                                 names=["w", "doc_id", "h", "at"])
+                words = [t.split() for t in texts.to_pylist()]
+                whole = _of_size(*_sums(words, known), guarantee_words)
+                sizes = np.array([len(w) for w in words])
+                ends = np.cumsum(sizes)
+                text = np.repeat(np.arange(len(words)), marks.value_lengths().to_numpy(zero_copy_only=False))
+                begin, last = (ends - sizes)[text, None], (ends - guarantee_words)[text, None]
+                starts = begin + np.subtract.outer(marks.flatten().to_numpy().astype(np.int64), reach)
+                here = np.zeros(len(whole), dtype=bool)
+                here[starts[(starts >= begin) & (starts <= last)]] = True
+                place = np.flatnonzero(here)
+                row = np.searchsorted(ends, place, side="right")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(whole[place].view(np.int64)), ids.take(pa.array(row)), hs.take(pa.array(row)),
+                     pa.array((place - (ends - sizes)[row]).astype(np.int32))], names=["w", "doc_id", "h", "at"])
 
     return run
 
 
-def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gram_words: int = GRAM_WORDS,
+def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gram_words: int = PASSAGE_GRAM_WORDS,
                       guarantee_words: int = GUARANTEE_WORDS) -> DataFrame:
     """(doc_id, h, starts): ranges of first words (both ends included) of all runs of ``guarantee_words`` words of a document that stand earlier; h is
-    xxhash64 of the text.
+    xxhash64 of the text. The result is the same for every ``gram_words``.
 
     A chosen gram meets the first place with the same gram in the same surroundings: all runs around it stand there. The first place of each
     surroundings is left; if its gram has others too, they may agree in part, and the at most ``guarantee_words - gram_words + 1`` runs around it
-    meet by their own hashes. So every run with an earlier copy is found, and copies cost no row for each run."""
-    guarantee_words = max(gram_words, guarantee_words)
+    meet by their own hashes. So every run with an earlier copy is found, and copies cost no row for each run. Grams and runs with very many
+    places (`split_hot`) are pre-aggregated; the places of all others are ordered in the tasks that they are shuffled to."""
+    gram_words = min(gram_words, guarantee_words)
     base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("h"), F.col(f"`{text}`").alias("text"))
     base = base.filter("text is not null")
-    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h", "at")
+    order = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("h"), F.col("at")]
+    place = F.struct(order[0].alias("n"), *order[1:])
+
     every = written(base.mapInArrow(_marked(gram_words, guarantee_words), _MARKS).filter("size(marks) > 0"), "word-marks")
     marks = every.select("doc_id", "h", F.inline("marks"))
     grams = written(marks.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "word-grams")
-    twice = written(meeting(marks, grams, ["g"]).drop("n"), "word-marks-twice")
-    discard(every, grams)
-    around = written(twice.groupBy("g", "c").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "word-surroundings")
-    same = meeting(twice, around.filter("n > 1"), ["g", "c"]).filter(place != F.col("first"))
-    same = same.select("doc_id", "h", F.greatest(F.lit(0), F.col("at") - (guarantee_words - gram_words)).alias("s"), F.col("last").alias("e"))
-    several = written(around.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "word-several")
-    parts = meeting(around.drop("n"), several, ["g"]).groupBy(F.col("first.doc_id").alias("d"), F.col("first.h").alias("dh")).agg(
-        F.collect_set("first.at").alias("marks"))
+    few, many = split_hot(grams, "g")
+    columns = ["doc_id", "h", "at", "last", "later", "several"]
+    usual = marks.join(F.broadcast(few), "g", "left_anti").join(many, "g")
+    usual = usual.withColumn("later", F.rank().over(W.partitionBy("g", "c").orderBy(*order)) > 1)
+    usual = usual.withColumn("several", F.min("c").over(W.partitionBy("g")) != F.max("c").over(W.partitionBy("g")))
+    hot = marks.join(F.broadcast(few), "g")
+    around = written(hot.groupBy("g", "c").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "word-surroundings")
+    various = around.groupBy("g").agg((F.min("c") != F.max("c")).alias("several"))  # no more rows than `few`
+    hot = meeting(hot, around, ["g", "c"]).withColumn("later", place != F.col("first")).join(F.broadcast(various), "g")
+    twice = usual.select(*columns).unionByName(hot.select(*columns)).filter("later or several")
+    twice = written(twice, "word-marks-twice", hash_joins=True)
+    discard(every, grams, around)
+
+    parts = twice.filter("several and not later").groupBy(F.col("doc_id").alias("d"), F.col("h").alias("dh")).agg(F.collect_set("at").alias("marks"))
     both = base.join(parts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("dh"))).select("doc_id", "h", "text", "marks")
-    windows = written(both.mapInArrow(_windows(gram_words, guarantee_words), "w long, doc_id long, h long, at int"), "word-windows")
-    first = written(windows.groupBy("w").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "word-first")
-    partly = meeting(windows, first, ["w"]).filter(place != F.col("first")).select("doc_id", "h", F.col("at").alias("s"), F.col("at").alias("e"))
-    found = written(same.unionByName(partly).groupBy("doc_id", "h").agg(F.collect_set(F.struct("s", "e")).alias("starts")), "word-ranges")
-    discard(twice, around, several, windows, first)
+    windows = written(both.mapInArrow(_windows(gram_words, guarantee_words), "w long, doc_id long, h long, at int"), "word-windows", hash_joins=True)
+    runs = written(windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "word-runs")
+    few, many = split_hot(runs, "w")
+    usual = windows.join(F.broadcast(few), "w", "left_anti").join(many, "w")
+    usual = usual.withColumn("r", F.rank().over(W.partitionBy("w").orderBy(*order))).filter("r > 1")
+    hot = windows.join(F.broadcast(few), "w")
+    hot = hot.join(F.broadcast(hot.groupBy("w").agg(F.min(place).alias("first"))), "w").filter(place != F.col("first"))
+    start = [F.col("at").alias("s"), F.col("at").alias("e")]
+    same = twice.filter("later").select("doc_id", "h", F.greatest(F.lit(0), F.col("at") - (guarantee_words - gram_words)).alias("s"), F.col("last").alias("e"))
+    found = same.unionByName(usual.select("doc_id", "h", *start)).unionByName(hot.select("doc_id", "h", *start))
+    found = written(found.groupBy("doc_id", "h").agg(F.collect_set(F.struct("s", "e")).alias("starts")), "word-ranges", hash_joins=True)
+    discard(twice, windows, runs)
     return found
 
 
@@ -389,11 +421,11 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gra
     document and stay alike; rows that share only the doc_id are two, in order of a hash of their text. Null doc_ids come last. An empty table gives
     no rows. Texts shorter than ``guarantee_words`` words neither lose nor lend lines. Other columns pass through, whatever their names."""
     runs = repeated_runs(docs, doc_id, text, gram_words, guarantee_words).withColumn("starts", F.lit(None).cast("array<struct<s:int,e:int>>"))
-    passages = repeated_passages(docs, doc_id, text, gram_words, guarantee_words).withColumn("ranges", F.lit(None).cast(runs.schema["ranges"].dataType))
+    passages = repeated_passages(docs, doc_id, text, guarantee_words=max(gram_words, guarantee_words)).withColumn("ranges", F.lit(None).cast(runs.schema["ranges"].dataType))
     runs = runs.unionByName(passages).groupBy(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).agg(
         F.flatten(F.collect_list("ranges")).alias("__ranges"), F.flatten(F.collect_list("starts")).alias("__starts"))
     column = F.col(f"`{text}`")
-    joined = docs.join(runs, F.col(f"`{doc_id}`").eqNullSafe(F.col("__d")) & (F.xxhash64(column) == F.col("__h")), "left")
+    joined = docs.join(runs.hint("shuffle_hash"), F.col(f"`{doc_id}`").eqNullSafe(F.col("__d")) & (F.xxhash64(column) == F.col("__h")), "left")
     cleaned = _cleaner(max(gram_words, guarantee_words))(F.when(F.col("__ranges").isNotNull(), column), F.col("__ranges"), F.col("__starts"))
     out = joined.withColumn("__c", cleaned)
     kept = F.when(F.col("__ranges").isNull(), column).otherwise(F.col("__c.text"))
