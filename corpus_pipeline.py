@@ -1,10 +1,13 @@
 """Training-corpus pipeline: quality, line dedup, near-dedup, mixture, packing, each over all that the stage before kept.
 
 In every stage an empty table gives no rows, rows go by themselves (also where doc_ids are null or repeated), and further columns pass
-through unchanged up to packing, which ignores them."""
+through unchanged, whatever their names, up to packing, which ignores them."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +15,33 @@ from citewell.llm import linededup, mixing, neardup, packing, quality
 from citewell.llm.common import table, written
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def any_columns(stage: Stage) -> Stage:
+    """The stage for documents whose further columns are named like the operators' own, which begin with two underscores: these travel as one
+    struct under a free name."""
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        own = [c for c in docs.columns if c.startswith("__")]
+        if not own:
+            return stage(spark, docs, sf_dir)
+        name = "further"
+        while name in docs.columns:
+            name += "_"
+        kept = [F.col(f"`{c}`") for c in docs.columns if c not in own]
+        out = stage(spark, docs.select(*kept, F.struct(*[F.col(f"`{c}`") for c in own]).alias(name)), sf_dir)
+        return out.select(*[F.col(f"{name}.`{c}`") if c in own else F.col(f"`{c}`") for c in docs.columns]) if name in out.columns else out
+
+    return run
+
+
 def _measured(docs: DataFrame) -> DataFrame:
     """n_chars, where the table has it, follows the text."""
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
+@any_columns
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the positive-unlabelled classifier does not reject. Null and empty texts are scored like any other; equal texts score alike."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -24,6 +49,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return scored.filter(F.col("__quality") >= quality.THRESHOLD).drop("__quality")
 
 
+@any_columns
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later repeated runs of lines; a document that is nothing but such runs goes. Null texts stay null and empty ones empty; rows
     equal in doc_id and text are one document and stay alike (near-dedup leaves one of them)."""
@@ -31,6 +57,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return _measured(out.drop("__removed", "__words_removed", "__removed_lines"))
 
 
+@any_columns
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates: the one with the smallest doc_id, null ids last, then by a hash of the text. Rows that share
     a doc_id, or have none, are rows of their own."""
@@ -43,12 +70,14 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
+@any_columns
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: documents repeated by epoch, the one on a source's border cut to its budget. Null texts have no words and stay once;
     a null source is a source of its own; rows without doc_id draw by row; ties go by doc_id, size and row."""
     return _measured(mixing.mixed_documents(docs))
 
 
+@any_columns
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens, each sequence with the mixture of the corpus. Null and empty texts are one end token; null and repeated
     doc_ids are packed row by row."""
