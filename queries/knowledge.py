@@ -24,14 +24,16 @@ def edges(spark, d):
         *part_of(F.col("c_name"), F.col("n_name"), F.concat(F.lit("c"), F.col("c_custkey").cast("string"))))
     s = table(spark, d, "supplier").join(named, F.col("s_nationkey") == F.col("k")).select(
         *part_of(F.col("s_name"), F.col("n_name"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))))
-    supplier = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
-    part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    # names are normalized where each stands once
+    supplier = text.computed(table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), s_norm=text.norm_entity(F.col("s_name")))
+    part = text.computed(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), p_norm=text.norm_entity(F.col("p_name")))
     shipped = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey").join(supplier, "l_suppkey").join(part, "l_partkey").select(
-        F.col("s_name").alias("subject"), F.lit("integrates with").alias("predicate"), F.col("p_name").alias("object"),
-        F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("doc_id"))
-    rows = a.unionByName(c).unionByName(s).unionByName(shipped)
-    return rows.select(F.lit("acme").alias("tenant_id"), "subject", text.norm_entity(F.col("subject")).alias("subject_norm"), "predicate", "object",
-                       text.norm_entity(F.col("object")).alias("object_norm"), "doc_id", F.concat("doc_id", F.lit("#0")).alias("chunk_id"))
+        F.col("s_name").alias("subject"), F.col("s_norm").alias("subject_norm"), F.lit("integrates with").alias("predicate"), F.col("p_name").alias("object"),
+        F.col("p_norm").alias("object_norm"), F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("doc_id"))
+    rows = a.unionByName(c).unionByName(s).select("subject", text.norm_entity(F.col("subject")).alias("subject_norm"), "predicate", "object",
+                                                  text.norm_entity(F.col("object")).alias("object_norm"), "doc_id").unionByName(shipped)
+    return rows.select(F.lit("acme").alias("tenant_id"), "subject", "subject_norm", "predicate", "object", "object_norm", "doc_id",
+                       F.concat("doc_id", F.lit("#0")).alias("chunk_id"))
 
 
 EDGES = f"""raw AS (SELECT n_name AS subject, 'part of' AS predicate, r_name AS object, 'n' || n_nationkey AS doc_id FROM nation JOIN region ON n_regionkey = r_regionkey
