@@ -3,6 +3,8 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 from citewell.operators import index, search, tiles
 
@@ -55,3 +57,24 @@ def test_vectors_in_tiles_keep_ties_in_order(monkeypatch):
     for q in range(5):
         assert where[who == q].tolist() == np.lexsort((np.arange(108), -exact[:, q]))[:7].tolist()
         assert np.allclose(scores[who == q], np.sort(exact[:, q])[::-1][:7])
+
+
+def test_weighted_terms_are_shuffled_in_a_short_form(spark):
+    r = random.Random(8)
+    rows = [("a", f"c{i}", [f"term{j}" for j in range(300)], [round(0.5 + r.randrange(3) / 7, 6) for _ in range(300)]) for i in range(20)]
+    rows += [("a", "none", [], []), ("a", "null", None, None), (None, None, ["x", None, "y"], [2.0, 0.25, 2.0])]
+    wide = spark.createDataFrame(rows, "tenant_id string, chunk_id string, terms array<string>, weights array<double>")
+    short = tiles.shortened(wide, "terms", "weights", "tenant_id", "chunk_id")
+    table = short.select("terms", "weights", "places").toArrow().combine_chunks().to_batches()[0]
+    assert pa.compute.list_value_length(table.column(1)).to_pylist()[:20] == [3] * 20  # not one weight a term
+    # the same from rows that begin inside a batch
+    for at in (0, 7, 19):
+        terms, weights = tiles.restored(*table.slice(at).columns)
+        assert [x or [] for x in terms.to_pylist()] == [[t or "" for t in x[2] or []] for x in rows[at:]]
+        assert weights.to_pylist() == [x[3] or [] for x in rows[at:]]
+    found = search.best_sparse(wide, spark.createDataFrame([("a", "q", 0, "term3", 1.5), ("a", "q", 0, "term5", 0.1)], "tenant_id string, qid string, subquery_no int, term string, idf double"), 30)
+    want = {x[1]: 1.5 * x[3][3] + 0.1 * x[3][5] for x in rows[:20]}
+    got = {x.chunk_id: x.score for x in found.collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[c], want[c], abs_tol=1e-6) for c in want)
+    exchanged = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "MapInArrow" in line]
+    assert exchanged and "places" in exchanged[0]
