@@ -18,6 +18,7 @@ line and a word only in a run with a strictly earlier equal run, so the first co
 from __future__ import annotations
 
 import re
+import struct
 from bisect import bisect_left, bisect_right
 from collections import deque
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import discard, meeting, slices, split_hot, written
-from .words import mix64
+from .words import FOLDED, mix64
 
 GRAM_WORDS = 25
 PASSAGE_GRAM_WORDS = 16  # grams inside lines; shorter ones are fewer to choose, longer ones stand twice by chance less often
@@ -41,7 +42,7 @@ GUARANTEE_WORDS = 50
 EDGE_WORDS = 4  # fewer words agree by chance before or after a run of whole lines
 _BASE = 0x9E3779B97F4A7C15
 _KNOWN_WORDS = 1 << 18
-_TABLE = 1 << 18  # powers kept; longer texts compute theirs
+_TABLE = 5 << 18  # powers kept; longer texts compute theirs
 _SLICE = 1 << 20  # bytes of text worked on at once
 
 
@@ -72,8 +73,8 @@ def winnow(hashes: list[int], words: list[int], gram_words: int = GRAM_WORDS, gu
     """(fingerprint, line): the chosen grams of one document."""
     n = len(hashes)
     gram_end, window_end = _ends(words, gram_words), _ends(words, max(gram_words, guarantee_words))
-    grams = [xxhash.xxh3_64_intdigest(b"".join(h.to_bytes(8, "little", signed=True) for h in hashes[i:e])) - (1 << 63) if e <= n else 0
-             for i, e in enumerate(gram_end)]
+    packed = struct.pack(f"<{n}q", *hashes)
+    grams = [xxhash.xxh3_64_intdigest(packed[8 * i:8 * e]) - (1 << 63) if e <= n else 0 for i, e in enumerate(gram_end)]
     chosen, queue, nxt = {}, deque(), 0
     for i in range(n):
         if window_end[i] > n:
@@ -193,14 +194,35 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 def _sums(words: list[list[str]], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Over the words of several texts in a row: running sums of their hashes times powers of a base, and the inverse powers. Any run of words
     is hashed from two sums, and alike wherever it stands."""
-    n = sum(map(len, words))
-    h = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.uint64, n)
+    return _running(np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.uint64, sum(map(len, words))))
+
+
+def _running(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(h)
     forth, back = _table() if n <= _TABLE else _power_tables(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(h * forth[:n], out=sums[1:])
     return sums, back[:n]
 
 
+_WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_SPACE = np.array([chr(b).isspace() and b < 128 for b in range(256)])
+_VALUES = np.where(_SPACE, np.uint64(0), FOLDED ^ mix64(np.arange(256, dtype=np.uint64)))  # of a byte in the hash of its word; A is not a
+
+
+def text_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (as of ``str.split``) of several texts in a row, and how many each text has. All words are hashed at once, from
+    running sums over the bytes of the texts."""
+    raws = [(t if t.isascii() else _WIDE_SPACE.sub(" ", t)).encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b"\n" + b"\n".join(raws) + b"\n", np.uint8)
+    space = _SPACE[data]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    begin, end = edges[::2], edges[1::2]
+    sums, back = _running(_VALUES[data])
+    last = np.cumsum([len(r) + 1 for r in raws])  # where the texts end
+    return mix64((sums[end] - sums[begin]) * back[begin]), np.diff(np.searchsorted(begin, last), prepend=0)
+
+
 def _of_size(sums: np.ndarray, back: np.ndarray, k: int) -> np.ndarray:
     return mix64((sums[k:] - sums[:-k]) * back[:len(back) - k + 1]) if len(back) >= k else np.empty(0, np.uint64)
 
@@ -221,13 +243,13 @@ def _slide(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return x
 
 
-def word_marks(texts: list[str], gram_words: int, guarantee_words: int, known: dict[str, int]) -> tuple[np.ndarray, ...]:
+def word_marks(texts: list[str], gram_words: int, guarantee_words: int) -> tuple[np.ndarray, ...]:
     """The chosen grams of texts: number of the text, hash, hash of the surroundings, place, and the last start of a run of ``guarantee_words``
     words that holds the gram. A gram is chosen if it has the smallest hash in one of these runs. Its surroundings are all words of such runs
     around it, fewer where the text begins or ends within them."""
-    words, width = [t.split() for t in texts], guarantee_words - gram_words + 1
-    sums, back = _sums(words, known)
-    sizes = np.array([len(w) for w in words])
+    width = guarantee_words - gram_words + 1
+    hashes, sizes = text_words(texts)
+    sums, back = _running(hashes)
     ends = np.cumsum(sizes)
     if len(back) < guarantee_words:
         return (np.empty(0, np.int64), *[np.empty(0, np.uint64)] * 2, *[np.empty(0, np.int64)] * 2)
@@ -249,11 +271,10 @@ _MARKS = "doc_id long, h long, marks array<struct<g:long,c:long,at:int,last:int>
 
 def _marked(gram_words: int, guarantee_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
         for batch in batches:
             for part in slices(batch, 256, _SLICE):
                 ids, hs, texts = part.columns
-                text, g, c, at, last = word_marks(texts.to_pylist(), gram_words, guarantee_words, known)
+                text, g, c, at, last = word_marks(texts.to_pylist(), gram_words, guarantee_words)
                 marks = pa.StructArray.from_arrays([pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(at.astype(np.int32)),
                                                     pa.array(last.astype(np.int32))], names=["g", "c", "at", "last"])
                 ends = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)
@@ -266,15 +287,13 @@ def _windows(gram_words: int, guarantee_words: int):
     reach = np.arange(guarantee_words - gram_words + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
         for batch in batches:
             for part in slices(batch, 256, _SLICE):
                 ids, hs, texts, marks = part.columns
-                words = [t.split() for t in texts.to_pylist()]
-                whole = _of_size(*_sums(words, known), guarantee_words)
-                sizes = np.array([len(w) for w in words])
+                hashes, sizes = text_words(texts.to_pylist())
+                whole = _of_size(*_running(hashes), guarantee_words)
                 ends = np.cumsum(sizes)
-                text = np.repeat(np.arange(len(words)), marks.value_lengths().to_numpy(zero_copy_only=False))
+                text = np.repeat(np.arange(len(texts)), marks.value_lengths().to_numpy(zero_copy_only=False))
                 begin, last = (ends - sizes)[text, None], (ends - guarantee_words)[text, None]
                 starts = begin + np.subtract.outer(marks.flatten().to_numpy().astype(np.int64), reach)
                 here = np.zeros(len(whole), dtype=bool)

@@ -617,6 +617,21 @@ def plain_passages(rows, n=50):
     return out
 
 
+def test_words_hashed_from_bytes():
+    """The words of str.split, whatever the white space; equal words and no others hash alike, wherever they stand."""
+    r = random.Random(40)
+    spaces = [" ", "\t", "\n", "\r\n", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u2029", "\u202f", "\u205f", "\u3000", "  "]
+    some = ["a", "A", "ab", "ba", "\x00", "\x00a", "a\x00", "\u200b", "é", "e\u0301", "漢字", "字漢", "\ud800", "😀", "x" * 3000, *(f"w{i}" for i in range(300))]
+    texts = ["", " ", "\u3000", "a"] + ["".join(x for _ in range(r.randrange(80)) for x in (r.choice(some), r.choice(spaces))) for _ in range(60)]
+    texts += ["\n" + t for t in texts] + [chr(i) + "a" for i in range(0x3100)]
+    hashes, sizes = linededup.text_words(texts)
+    words = [t.split() for t in texts]
+    assert sizes.tolist() == [len(w) for w in words]
+    pairs = set(zip((x for w in words for x in w), hashes.tolist(), strict=True))
+    assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs})
+    assert linededup.text_words(["x" * (6 << 18), "x"])[0][1] == linededup.text_words(["x"])[0][0]  # longer than the powers kept
+
+
 def test_passages_inside_lines(spark):
     r, rows = random.Random(21), []
     passages = [prose(r.randint(51, 90), 7000 + i, 10**6) for i in range(6)]
