@@ -266,7 +266,34 @@ def word_marks(texts: list[str], gram_words: int, guarantee_words: int) -> tuple
     return text, grams[at], mix64(around + shape * np.uint64(_BASE)), at - begin, np.minimum(at, end - guarantee_words) - begin
 
 
-_MARKS = "doc_id long, h long, marks array<struct<g:long,c:long,at:int,last:int>>"
+def seen_before(text: np.ndarray, g: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Which grams, in the order of their texts and places, stand earlier in the same text in the same surroundings."""
+    again = np.zeros(len(text), dtype=bool)
+    keys = c ^ (text.astype(np.uint64) * np.uint64(_BASE))
+    twins = np.sort(keys)
+    twins = twins[1:][twins[1:] == twins[:-1]]
+    if not len(twins):
+        return again
+    some = np.flatnonzero(np.isin(keys, twins))
+    order = some[np.lexsort((c[some], g[some], text[some]))]  # stable: the first place comes first
+    a, b = order[:-1], order[1:]
+    again[b] = (text[a] == text[b]) & (g[a] == g[b]) & (c[a] == c[b])
+    return again
+
+
+def joined_ranges(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ranges (both ends included) of each text, in order of place, as few: those that overlap or touch become one."""
+    new = np.ones(len(text), dtype=bool)
+    new[1:] = (text[1:] != text[:-1]) | (start[1:] > end[:-1] + 1)
+    return text[new], start[new], end[np.append(new[1:], True)[:len(new)]]
+
+
+_MARKS = "doc_id long, h long, marks array<struct<g:long,c:long,at:int,last:int>>, again array<struct<s:int,last:int>>"
+
+
+def _per_text(text: np.ndarray, n: int, **columns: np.ndarray) -> pa.ListArray:
+    ends = np.searchsorted(text, np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(c) for c in columns.values()], names=list(columns)))
 
 
 def _marked(gram_words: int, guarantee_words: int):
@@ -275,10 +302,12 @@ def _marked(gram_words: int, guarantee_words: int):
             for part in slices(batch, 256, _SLICE):
                 ids, hs, texts = part.columns
                 text, g, c, at, last = word_marks(texts.to_pylist(), gram_words, guarantee_words)
-                marks = pa.StructArray.from_arrays([pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(at.astype(np.int32)),
-                                                    pa.array(last.astype(np.int32))], names=["g", "c", "at", "last"])
-                ends = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([ids, hs, pa.ListArray.from_arrays(pa.array(ends), marks)], names=["doc_id", "h", "marks"])
+                again = seen_before(text, g, c)
+                one = ~again
+                marks = _per_text(text[one], len(texts), g=g[one].view(np.int64), c=c[one].view(np.int64), at=at[one].astype(np.int32), last=last[one].astype(np.int32))
+                of, s, e = joined_ranges(text[again], np.maximum(at[again] - (guarantee_words - gram_words), 0), last[again])
+                ranges = _per_text(of, len(texts), s=s.astype(np.int32), last=e.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([ids, hs, marks, ranges], names=["doc_id", "h", "marks", "again"])
 
     return run
 
@@ -312,7 +341,8 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """(doc_id, h, starts): ranges of first words (both ends included) of all runs of ``guarantee_words`` words of a document that stand earlier; h is
     xxhash64 of the text. The result is the same for every ``gram_words``.
 
-    A chosen gram meets the first place with the same gram in the same surroundings: all runs around it stand there. The first place of each
+    A chosen gram meets the first place with the same gram in the same surroundings: all runs around it stand there. Where that happens within one
+    document, as in words that repeat over and over, it is seen at once, so a document has one mark a gram and surroundings. The first place of each
     surroundings is left; if its gram has others too, they may agree in part, and the at most ``guarantee_words - gram_words + 1`` runs around it
     meet by their own hashes. So every run with an earlier copy is found, and copies cost no row for each run. Grams and runs with very many
     places (`split_hot`) are pre-aggregated; the places of all others are ordered in the tasks that they are shuffled to."""
@@ -326,17 +356,20 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     marks = every.select("doc_id", "h", F.inline("marks"))
     grams = written(marks.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "word-grams")
     few, many = split_hot(grams, "g")
-    columns = ["doc_id", "h", "at", "last", "later", "several"]
+    begin = F.greatest(F.lit(0), F.col("at") - (guarantee_words - gram_words)).alias("s")
+    columns = ["doc_id", "h", "at", begin, "last", "later", "several"]
+    again = every.select("doc_id", "h", F.inline("again")).select(
+        "doc_id", "h", F.lit(None).cast("int").alias("at"), "s", "last", F.lit(True).alias("later"), F.lit(False).alias("several"))
     usual = marks.join(F.broadcast(few), "g", "left_anti").join(many, "g")
     usual = usual.withColumn("later", F.rank().over(W.partitionBy("g", "c").orderBy(*order)) > 1)
     usual = usual.withColumn("several", F.min("c").over(W.partitionBy("g")) != F.max("c").over(W.partitionBy("g")))
-    hot = marks.join(F.broadcast(few), "g")
+    hot = often = written(marks.join(F.broadcast(few), "g"), "word-marks-hot")
     around = written(hot.groupBy("g", "c").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "word-surroundings")
     various = around.groupBy("g").agg((F.min("c") != F.max("c")).alias("several"))  # no more rows than `few`
     hot = meeting(hot, around, ["g", "c"]).withColumn("later", place != F.col("first")).join(F.broadcast(various), "g")
     twice = usual.select(*columns).unionByName(hot.select(*columns)).filter("later or several")
-    twice = written(twice, "word-marks-twice", hash_joins=True)
-    discard(every, grams, around)
+    twice = written(twice.unionByName(again), "word-marks-twice", hash_joins=True)
+    discard(every, grams, often, around)
 
     parts = twice.filter("several and not later").groupBy(F.col("doc_id").alias("d"), F.col("h").alias("dh")).agg(F.collect_set("at").alias("marks"))
     both = base.join(parts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("dh"))).select("doc_id", "h", "text", "marks")
@@ -348,7 +381,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     hot = windows.join(F.broadcast(few), "w")
     hot = hot.join(F.broadcast(hot.groupBy("w").agg(F.min(place).alias("first"))), "w").filter(place != F.col("first"))
     start = [F.col("at").alias("s"), F.col("at").alias("e")]
-    same = twice.filter("later").select("doc_id", "h", F.greatest(F.lit(0), F.col("at") - (guarantee_words - gram_words)).alias("s"), F.col("last").alias("e"))
+    same = twice.filter("later").select("doc_id", "h", "s", F.col("last").alias("e"))
     found = same.unionByName(usual.select("doc_id", "h", *start)).unionByName(hot.select("doc_id", "h", *start))
     found = written(found.groupBy("doc_id", "h").agg(F.collect_set(F.struct("s", "e")).alias("starts")), "word-ranges", hash_joins=True)
     discard(twice, windows, runs)

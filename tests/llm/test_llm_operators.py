@@ -677,6 +677,32 @@ def test_surroundings_that_agree_in_part(spark):
     assert {x.doc_id: x.text.split() for x in out} == plain_passages([(d, t) for d, t, _ in rows])
 
 
+def test_words_that_repeat_over_and_over(spark):
+    """A document has one mark a gram and surroundings, however often its words repeat; every run with an earlier copy goes, no other word."""
+    import pyarrow as pa
+    r, rows = random.Random(32), []
+    periods = [prose(n, 40_000 + n, 10**6) for n in (1, 2, 3, 20, 60)]
+    for i in range(40):
+        words = f"{prose(r.randint(0, 30), 41_000 + i, 10**6)} " + f"{periods[i % 5]} " * (2000 // (1 + 9 * (i % 5 > 2))) + prose(r.randint(0, 30), 42_000 + i, 10**6)
+        rows.append((i, words.strip(), "s"))
+    rows += [(50, rows[3][1], "s"), (3, rows[3][1], "s"), (None, rows[1][1], "s"), (51, f"{periods[1]} " * 30, "s")]
+    texts = [t for _, t, _ in rows]
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _, _ in rows], pa.int64()), pa.array(range(len(rows)), pa.int64()), pa.array(texts)], names=["doc_id", "h", "text"])
+    found = [x for out in linededup._marked(16, 50)([batch]) for x in out.to_pylist()]
+    assert len(found) == len(rows)
+    for x, t in zip(found, texts, strict=True):
+        assert len({(m["g"], m["c"]) for m in x["marks"]}) == len(x["marks"]) <= 130 < len(t.split()) or len(t.split()) <= 130
+        seen, w = {}, t.split()
+        firsts = [seen.setdefault(tuple(w[i:i + 50]), i) for i in range(len(w) - 49)]
+        later = {i for i, first in enumerate(firsts) if first < i}
+        covered = [i for a in x["again"] for i in range(a["s"], a["last"] + 1)]
+        assert len(covered) == len(set(covered)) and set(covered) <= later
+        assert len(x["again"]) <= 60
+    out = linededup.dedup_lines(spark.createDataFrame(rows, DOC)).collect()
+    want = plain_passages([(10**6 if d is None else d, t) for d, t, _ in {row[:2]: row for row in rows}.values()])
+    assert all((x.text or "").split() == want[10**6 if x.doc_id is None else x.doc_id] for x in out) and len(out) == len(rows)
+
+
 def test_meeting_splits_hot_keys(spark):
     """Hot and rare keys give the rows of the plain join."""
     from citewell.llm.common import discard, meeting, written
